@@ -138,7 +138,7 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int,
     best, total, start, matches = (0, 0, 0), 0, a, 0
     top = 0
     for i, same in enumerate((doc[a:b] == item[a - diagonal : b - diagonal]).tolist(), a):
-        if total <= 0:
+        if total < 0:
             total, start, matches = 0, i, 0
         total += 1 if same else MISMATCH
         matches += same
