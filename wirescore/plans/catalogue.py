@@ -1,11 +1,153 @@
-"""Registry of the library's own queries."""
+"""Registry of the library's own queries and their SQL twins."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import signal as S
+from ..functions import text as T
+from ..operators import metrics as M
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.scored(M.adjacent_turns(table(spark, sf_dir, "conversations")))
+
+
+def normalize_text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalize_text("text").alias("normal"))
+
+
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.tokens(T.normalize_text("text"))).cast("bigint").alias("n_words"))
+
+
+def wer_adjacent_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _turns(spark, sf_dir)
+    return rows.select("conv_id", "turn", "word_edits", "word_units", F.round(T.error_rate(F.col("word_edits"), F.col("word_units")), 9).alias("wer"))
+
+
+def cer_adjacent_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _turns(spark, sf_dir)
+    return rows.select("conv_id", "turn", "char_edits", "char_units", F.round(T.error_rate(F.col("char_edits"), F.col("char_units")), 9).alias("cer"))
+
+
+def wer_corpus_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir).groupBy("role").agg(F.count("*").alias("n_items"), F.round(M.micro_average("word_edits", "word_units"), 9).alias("wer"), F.round(M.micro_average("char_edits", "char_units"), 9).alias("cer"))
+
+
+def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.numeric_entities(F.col("text"))).alias("place", "e"))
+    return rows.select("doc_id", F.col("place").cast("bigint").alias("place"), "e.canonical", "e.kind")
+
+
+def entity_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = M.adjacent_turns(table(spark, sf_dir, "conversations"))
+    canon = lambda c: F.transform(T.numeric_entities(F.col(c)), lambda e: e["canonical"])
+    rows = turns.select("conv_id", "turn", canon("reference").alias("r"), canon("hypothesis").alias("h"))
+    return rows.select("conv_id", "turn", F.size("r").alias("n_reference"), T.lcs_length(F.col("r"), F.col("h")).alias("n_matches"))
+
+
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy("event_type")
+    return rows.agg(F.count("value").alias("n"), M.nearest_rank("value", 50).alias("p50"), M.nearest_rank("value", 95).alias("p95"), F.max("value").alias("most"))
+
+
+def nullable_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("metric", F.when(F.col("event_id") % 3 == 0, F.col("value")))
+    return rows.groupBy("user_id").agg(F.count("*").alias("n_items"), F.count("metric").alias("n_metric"), M.nearest_rank("metric", 50).alias("p50"), F.round(F.avg("metric"), 6).alias("mean"))
+
+
+def ratio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("double")).alias("a"), F.sum(F.col("l_discount").cast("double")).alias("b"))
+    return rows.select("l_returnflag", "l_linestatus", F.round(F.coalesce(M.ratio(F.col("b"), F.col("a")), F.lit(0.0)), 9).alias("rtf"), F.round(M.ratio(F.col("a"), F.col("b")), 4).alias("speed_factor"))
+
+
+def running_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = M.trace(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"])
+    return rows.select("event_id", F.col("seq").cast("bigint").alias("seq"), F.round("running", 4).alias("running"))
+
+
+def first_event_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event"))
+
+
+def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id")).where("n > 1")
+
+
+def missing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
+
+
+def gain_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(S.gain_and_clip(F.col("embedding"), 6.0, 0.25)).alias("i", "x"))
+    return rows.select("vec_id", F.col("i").cast("bigint").alias("i"), F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
+def pcm16_mu_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", S.pcm16(F.col("embedding")).alias("p"))
+    rows = rows.select("vec_id", F.posexplode(F.arrays_zip("p", S.mu_law(F.col("p")).alias("m"))).alias("i", "x"))
+    return rows.select("vec_id", F.col("i").cast("bigint").alias("i"), F.col("x.p").alias("pcm"), F.col("x.m").alias("mu"))
+
+
+def frame_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(S.frames(F.col("embedding"), 20)).alias("frame", "x"))
+    return rows.select("vec_id", F.col("frame").cast("bigint").alias("frame"), F.size("x").cast("bigint").alias("n"))
+
+
+def signal_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(S.rms(F.col("embedding")), 6).alias("rms"))
+
+
+def channel_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select("vec_id", S.additive_noise(F.col("embedding"), F.col("vec_id"), 10.0).alias("noisy"))
+
+
+def channel_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", S.mu_law(S.pcm16(F.col("embedding"))).alias("codes"))
+    made = rows.select("vec_id", S.lossy_channel(F.col("codes"), F.col("vec_id"), "pcmu", 0.2, 10.0, 15.0, 1).alias("payload"))
+    return made.select("vec_id", F.hex("payload").alias("payload"))
+
+
+_NORMAL = r"trim(regexp_replace(replace(lower({0}),'ß','ss'),'[\p{{P}}\p{{S}}\s]+',' ','g'))"
+
+_SQL = {
+    "normalize_text_rows": f"SELECT conv_id, turn, {_NORMAL.format('text')} AS normal FROM conversations",
+    "word_counts": f"SELECT doc_id, CASE WHEN n = '' THEN 0 ELSE len(string_split(n, ' ')) END AS n_words FROM (SELECT doc_id, {_NORMAL.format('text')} AS n FROM documents)",
+    "latency_percentiles": "SELECT event_type, count(value) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS most FROM events GROUP BY 1",
+    "nullable_metrics": "SELECT user_id, count(*) AS n_items, count(m) AS n_metric, quantile_disc(m, 0.5) AS p50, round(avg(m), 6) AS mean FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN value END AS m FROM events) GROUP BY 1",
+    "ratio_metrics": "SELECT l_returnflag, l_linestatus, round(coalesce(b / nullif(a, 0), 0), 9) AS rtf, round(a / nullif(b, 0), 4) AS speed_factor FROM (SELECT l_returnflag, l_linestatus, sum(l_quantity::DOUBLE) AS a, sum(l_discount::DOUBLE) AS b FROM lineitem GROUP BY 1, 2)",
+    "running_total": "SELECT event_id, row_number() OVER w - 1 AS seq, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS running FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
+    "first_event_per_user": "SELECT user_id, arg_min(event_id, (ts, event_id)) AS first_event, arg_max(event_id, (ts, event_id)) AS last_event FROM events GROUP BY 1",
+    "duplicate_ids": "SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1, 2 HAVING count(*) > 1",
+    "missing_labels": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "gain_clip": "SELECT vec_id, i, round(least(greatest(x::DOUBLE * power(10, 0.3), -0.25), 0.25)::FLOAT::DOUBLE, 5) AS x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)",
+    "pcm16_mu_law": """
+        WITH p AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+        q AS (SELECT vec_id, i, least(greatest(round_even(least(greatest(x, -1), 1) * 32768, 0), -32768), 32767)::INT AS pcm FROM p),
+        m AS (SELECT *, least(abs(pcm), 32635) + 132 AS m FROM q),
+        s AS (SELECT *, (m > 255)::INT + (m > 511)::INT + (m > 1023)::INT + (m > 2047)::INT + (m > 4095)::INT + (m > 8191)::INT + (m > 16383)::INT AS s FROM m)
+        SELECT vec_id, i, pcm, xor(s * 16 + ((m >> (s + 3)) & 15), CASE WHEN pcm < 0 THEN 127 ELSE 255 END) AS mu FROM s""",
+    "frame_split": "SELECT vec_id, f AS frame, least(20, len(embedding) - 20 * f) AS n FROM (SELECT vec_id, embedding, unnest(range((len(embedding) + 19) // 20)) AS f FROM embeddings)",
+    "signal_rms": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)), 6) AS rms FROM embeddings",
+}
+
 
 def queries() -> dict:
-    return {}
+    return {
+        f.__name__: f
+        for f in (
+            normalize_text_rows, word_counts, wer_adjacent_turns, cer_adjacent_turns, wer_corpus_by_role, entity_extract, entity_preservation, latency_percentiles, nullable_metrics, ratio_metrics,
+            running_total, first_event_per_user, duplicate_ids, missing_labels, gain_clip, pcm16_mu_law, frame_split, signal_rms, channel_noise, channel_loss,
+        )
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)
