@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of G.711: sample bounds, bias and segment ends of each law, silence bytes.
@@ -136,15 +138,16 @@ def jitter_loss(payload: Column, item: Column, codec: str, jitter_std_ms: float,
     return drop(payload, item)
 
 
-def lossy_channel(codes: Column, item: Column, codec: str, loss_rate: float, jitter_std_ms: float, buffer_ms: float, frame_ms: int = 20, run: int = 0) -> Column:
-    """Packet loss, then late frames, on an array of code words, in one pass through Python."""
+def lossy_channel(rows: DataFrame, item: str, codes: str, codec: str, loss_rate: float, jitter_std_ms: float, buffer_ms: float, frame_ms: int = 20, run: int = 0) -> DataFrame:
+    """rows (item bigint, codes array<int>): item and payload, after packet loss and then late
+    frames, in one pass through Python."""
 
-    @F.pandas_udf("binary")
-    def through(values: pd.Series, items: pd.Series) -> pd.Series:
-        out = []
-        for v, i in zip(values, items):
-            kept = lost(bytes(np.asarray(v, np.uint8)), codec, loss_rate, frame_ms, stream_seed(run, int(i)))
-            out.append(late(kept, codec, jitter_std_ms, buffer_ms, frame_ms, stream_seed(run, int(i), 2)))
-        return pd.Series(out)
-
-    return through(codes, item)
+    def through(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for i, v in zip(part[item], part[codes]):
+                kept = lost(bytes(np.asarray(v, np.uint8)), codec, loss_rate, frame_ms, stream_seed(run, int(i)))
+                out.append(late(kept, codec, jitter_std_ms, buffer_ms, frame_ms, stream_seed(run, int(i), 2)))
+            yield pd.DataFrame({item: part[item], "payload": out})
+
+    return rows.select(item, codes).mapInPandas(through, f"{item} bigint, payload binary")

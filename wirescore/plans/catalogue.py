@@ -111,7 +111,7 @@ def channel_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def channel_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", S.mu_law(S.pcm16(F.col("embedding"))).alias("codes"))
-    made = rows.select("vec_id", S.lossy_channel(F.col("codes"), F.col("vec_id"), "pcmu", 0.2, 10.0, 15.0, 1).alias("payload"))
+    made = S.lossy_channel(rows, "vec_id", "codes", "pcmu", 0.2, 10.0, 15.0, 1)
     return made.select("vec_id", F.hex("payload").alias("payload"))
 
 
