@@ -3,22 +3,25 @@
 A byte goes if it is covered by a string of `width` bytes that also starts anywhere else.
 
 1. Anchors. Every string of `width` bytes holds a run of 64 bytes whose hash is the lowest of
-   its window; equal strings choose it at the same place. A document's anchors are these runs,
-   and an anchor's window is the text from which it can be chosen: up to width - 64 bytes before it
-   and width bytes from its start. Anchor hashes that occur once in the whole corpus are
-   dropped; the counts are partially aggregated sums.
+   its window (the first of ties); equal strings choose it at the same place. A document's anchors
+   are these runs. The strings that choose an anchor start side by side, and together they are its
+   window: every string lies in one window, and equal strings stand at the same distance from
+   the anchors of theirs. Anchor hashes that occur once in the whole corpus are dropped; the counts
+   are partially aggregated sums.
 2. Windows. Windows that are equal byte for byte (a 128-bit digest) are one window from here on,
    so copies, however many, cost one; where it stands twice, all of it is repeated.
-3. Shards. Different windows that share an anchor hash meet in one task. Each shard of at most
+3. Pieces. Different windows that share an anchor hash meet in one task, which cuts them into runs
+   of 16 start offsets. Strings of a run share the bytes in its middle, so runs without a partner
+   of the same middle hold no repeated string, and equal runs are one piece, repeated as a whole.
+   An anchor with more than `crowd` different windows (a common line in ever new surroundings) is
+   dealt out by these middles beforehand.
+4. Shards. Pieces that share a middle but differ are searched. Each shard of at most
    `shard_bytes` is a suffix array, refined after Larsson and Sadakane from ranks of 7 bytes by
    doubling within unsorted groups, with common prefixes after Kasai. Neighbours that share
-   `width` bytes and start at different places are repeated. When the windows of one anchor fill
+   `width` bytes and start at different places are repeated. When the pieces of one middle fill
    more than one shard, the shards are merged across: the suffixes of each are looked up in
    the others' arrays by binary search.
-   An anchor with more than `crowd` different windows (a common line in ever new surroundings) is
-   first split by longer cores: for each run of 16 start offsets, the bytes that all its strings
-   share. Windows that share no core have no string in common.
-4. Spans of a document are united, and the bytes that remain are digested.
+5. Spans of a document are united, and the bytes that remain are digested.
 
 Edge cases. Null counts as empty. Strings are judged on the input. Rows with the same doc_id and
 text are separate documents, so they remove each other. Texts shorter than `width` lose nothing.
@@ -55,35 +58,41 @@ def sliding_minimum(values: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(right[:n], left[window - 1 : window - 1 + n])
 
 
-def anchors(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position, hash) of every anchor of some texts."""
+def anchors(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
+    """(text, position, hash, first start, last start) of every anchor of some texts: the strings
+    of `width` bytes that choose it start between the two."""
     raw = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     begins = np.r_[0, np.cumsum(sizes)]
+    none = np.empty(0, np.int64)
     if len(raw) < width:
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
+        return none, none, none.view(np.uint64), none, none
     with np.errstate(over="ignore"):
         sums = np.r_[np.uint64(0), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw)), dtype=np.uint64)]
         hashes = mix((sums[RUN:] - sums[:-RUN]) * _powers(_INVERSE, len(raw))[: len(raw) - RUN + 1])
     window = width - RUN + 1
     low = sliding_minimum(hashes, window)
     owner = np.repeat(np.arange(len(texts)), sizes)
-    # A window counts if its width bytes lie in one text.
-    at = np.arange(len(low))
-    whole = at + width <= begins[owner[: len(low)] + 1]
-    # Each window takes the first place at which its minimum stands.
-    chosen = np.zeros(len(hashes), bool)
-    starts = np.flatnonzero(whole)
-    if len(starts):
-        new = np.r_[True, (low[starts[1:]] != low[starts[:-1]]) | (starts[1:] != starts[:-1] + 1)]
-        # Within a run of windows with the same minimum, equal hashes may lie further on: take all.
-        run_first, run_last = starts[new], starts[np.r_[np.flatnonzero(new)[1:] - 1, len(starts) - 1]]
-        reach = run_last + window - run_first
-        inside = np.repeat(run_first - np.r_[0, np.cumsum(reach)[:-1]], reach) + np.arange(reach.sum())
-        value = np.repeat(low[run_first], reach)
-        chosen[inside[hashes[inside] == value]] = True
-    found = np.flatnonzero(chosen)
-    return owner[found], found - begins[owner[found]], hashes[found]
+    # A start counts if its width bytes lie in one text.
+    starts = np.flatnonzero(np.arange(len(low)) + width <= begins[owner[: len(low)] + 1])
+    if not len(starts):
+        return none, none, none.view(np.uint64), none, none
+    new = np.r_[True, (low[starts[1:]] != low[starts[:-1]]) | (starts[1:] != starts[:-1] + 1)]
+    # Within a run of starts with the same minimum, equal hashes may lie further on.
+    run_first, run_last = starts[new], starts[np.r_[np.flatnonzero(new)[1:] - 1, len(starts) - 1]]
+    reach = run_last + window - run_first
+    run = np.repeat(np.arange(len(reach)), reach)
+    inside = np.repeat(run_first - np.r_[0, np.cumsum(reach)[:-1]], reach) + np.arange(reach.sum())
+    tie = hashes[inside] == low[run_first][run]
+    run, at = run[tie], inside[tie]
+    # Of ties, the first that is not before the start is chosen.
+    later = np.r_[False, run[1:] == run[:-1]]
+    first = np.where(later, np.r_[0, at[:-1]] + 1, run_first[run])
+    last = np.minimum(at, run_last[run])
+    used = first <= last
+    at, first, last = at[used], first[used], last[used]
+    text = owner[at]
+    return text, at - begins[text], hashes[at], first - begins[text], last - begins[text]
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -93,24 +102,22 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], lis
             yield ids[a:b], texts[a:b]
 
 
-def _anchor_hashes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for _, texts in _batches(batches):
-        _, _, h = anchors(texts, width)
-        value, count = np.unique(h, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count.astype(np.int64))], names=["h", "n"])
+_PLACE = "rid bigint, first int, size int, lead int, h bigint, w1 bigint, w2 bigint"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_128_digest
 
     for ids, texts in _batches(batches):
-        owner, pos, h = anchors(texts, width)
-        windows = [xxh3_128_digest(texts[o][max(0, p - width + RUN) : p + width] + bytes([min(p, width - RUN)])) for o, p in zip(owner.tolist(), pos.tolist())]
+        owner, pos, h, first, last = anchors(texts, width)
+        lead = pos - first
+        windows = [xxh3_128_digest(texts[o][a : b + width], d) for o, a, b, d in zip(owner.tolist(), first.tolist(), last.tolist(), lead.tolist())]
         digest = np.frombuffer(b"".join(windows), "<i8").reshape(-1, 2)
         rid = np.array(ids, np.int64)[owner] if len(owner) else np.empty(0, np.int64)
+        small = [pa.array(x.astype(np.int32)) for x in (first, last + width - first, lead)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rid), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(np.ascontiguousarray(digest[:, 0])), pa.array(np.ascontiguousarray(digest[:, 1]))],
-            names=["rid", "pos", "h", "w1", "w2"],
+            [pa.array(rid), *small, pa.array(h.view(np.int64)), pa.array(np.ascontiguousarray(digest[:, 0])), pa.array(np.ascontiguousarray(digest[:, 1]))],
+            names=[c.split()[0] for c in _PLACE.split(", ")],
         )
 
 
@@ -298,23 +305,69 @@ def spans_of(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, new]].tolist(), (starts[np.r_[new - 1, len(starts) - 1]] + width).tolist()))
 
 
+def runs_of(size: int, lead: int, width: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(run, a, b, c, d) of a window with its anchor at lead: the strings of the run start from a to b,
+    and bytes c to d are in all of them. Runs are counted from the anchor, so equal strings fall into the same."""
+    last = size - width
+    for run in range((lead - last) // STEP, lead // STEP + 1):
+        high = lead - run * STEP
+        low = high - STEP + 1
+        a, b = max(low, 0), min(high, last)
+        if a <= b:
+            yield run, a, b, high, low + width
+
+
+def repeated_runs(windows: list[bytes], leads: list[int], many: list[bool], rids: np.ndarray, firsts: np.ndarray, keys: np.ndarray, width: int, shard_bytes: int) -> list[tuple[int, int, int]]:
+    """(window, a, b): runs of bytes covered by repeated strings. Windows are sorted by key, and
+    many marks windows that stand at several places."""
+    middles: dict[tuple, list[tuple[int, int, int, int]]] = {}
+    for i, (w, lead, k) in enumerate(zip(windows, leads, keys.tolist())):
+        for run, a, b, c, d in runs_of(len(w), lead, width):
+            middles.setdefault((k, run, w[c:d]), []).append((i, a, b, c))
+    out: list[tuple[int, int, int]] = []
+    pieces: list[bytes] = []
+    members: list[list[tuple[int, int]]] = []
+    groups: list[int] = []
+    for g, met in enumerate(middles.values()):
+        if len(met) < 2:
+            continue
+        kinds: dict[tuple, list[tuple[int, int]]] = {}
+        for i, a, b, c in met:
+            kinds.setdefault((c - a, windows[i][a : b + width]), []).append((i, a))
+        if len(kinds) == 1:
+            out += [(i, a, b + width) for i, a, b, _ in met]
+            continue
+        for (_, piece), same in kinds.items():
+            pieces.append(piece)
+            members.append(same)
+            groups.append(g)
+    if pieces:
+        one = [m[0] for m in members]
+        doubled = np.array([len(m) > 1 or many[m[0][0]] for m in members])
+        at = np.array([firsts[i] + a for i, a in one], np.int64)
+        w, o = repeated_starts(pieces, rids[[i for i, _ in one]], at, doubled, np.array(groups), width, shard_bytes)
+        order = np.lexsort((o, w))
+        w, o = w[order], o[order]
+        for part in np.split(np.arange(len(w)), np.flatnonzero(np.diff(w)) + 1) if len(w) else []:
+            spans = spans_of(o[part], width)
+            out += [(i, a + x, a + y) for i, a in members[w[part[0]]] for x, y in spans]
+    return out
+
+
 def _shards(batches: Iterator[pa.RecordBatch], width: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Rows k, h, w1, w2, rid, first, n, window sorted by k: spans of each window, relative to it."""
+    """Rows of windows, sorted by k: spans of each, relative to the whole window."""
     held: list[pa.RecordBatch] = []
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
-        windows = rows.column("window").to_pylist()
-        num = {c: rows.column(c).to_numpy() for c in ("k", "rid", "first", "n", "h", "w1", "w2")}
-        w, o = repeated_starts(windows, num["rid"], num["first"].astype(np.int64), num["n"] > 1, num["k"], width, shard_bytes)
-        order = np.lexsort((o, w))
-        w, o = w[order], o[order]
-        out: list[tuple] = []
-        for part in np.split(np.arange(len(w)), np.flatnonzero(np.diff(w)) + 1) if len(w) else []:
-            i = w[part[0]]
-            out += [(int(num["h"][i]), int(num["w1"][i]), int(num["w2"][i]), a, b) for a, b in spans_of(o[part], width)]
-        cols = list(zip(*out)) if out else [[]] * 5
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 2
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["h", "w1", "w2", "a", "b"])
+        windows, leads = rows.column("window").to_pylist(), rows.column("lead").to_pylist()
+        num = {c: rows.column(c).to_numpy() for c in ("k", "rid", "first", "n", "base", "h", "w1", "w2")}
+        found = repeated_runs(windows, leads, (num["n"] > 1).tolist(), num["rid"], num["first"].astype(np.int64), num["k"], width, shard_bytes)
+        i, a, b = np.array(found, np.int64).reshape(-1, 3).T
+        base = num["base"][i]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(num["h"][i]), pa.array(num["w1"][i]), pa.array(num["w2"][i]), pa.array((a + base).astype(np.int32)), pa.array((b + base).astype(np.int32))],
+            names=["h", "w1", "w2", "a", "b"],
+        )
 
     size = 0
     for batch in batches:
@@ -336,53 +389,44 @@ def _shards(batches: Iterator[pa.RecordBatch], width: int, shard_bytes: int) ->
 
 # ---- the operator
 
+_WINDOW = "h bigint, w1 bigint, w2 bigint, rid bigint, first int, n bigint, lead int, base int, window binary"
+_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
 
-def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows t, picks (pos, h, w1, w2, n): the bytes of each picked window."""
+def _window_batch(rows: list[tuple], schema: str = _WINDOW) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")))
+    cols = list(zip(*rows)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(cols, kinds)], names=names)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows t, picks (first, size, lead, h, w1, w2, n): the bytes of each picked window."""
     for batch in batches:
         texts, picks, rids = batch.column("t").to_pylist(), batch.column("picks").to_pylist(), batch.column("rid").to_pylist()
         out: list[tuple] = []
         size = 0
         for t, some, rid in zip(texts, picks, rids):
             for p in some:
-                first = max(0, p["pos"] - width + RUN)
-                out.append((p["h"], p["w1"], p["w2"], rid, first, p["n"], t[first : p["pos"] + width]))
-                size += 2 * width
+                out.append((p["h"], p["w1"], p["w2"], rid, p["first"], p["n"], p["lead"], 0, t[p["first"] : p["first"] + p["size"]]))
+                size += p["size"]
                 if size > 1 << 22:
                     yield _window_batch(out)
                     out, size = [], 0
         yield _window_batch(out)
 
 
-_WINDOW = "h bigint, w1 bigint, w2 bigint, rid bigint, first int, n bigint, window binary"
-
-
-def _window_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [[]] * 7
-    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in _WINDOW.split(", ")])
-
-
 def _cores(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Each window of a crowded anchor once for each run of STEP start offsets, under the hash of
-    the bytes that all strings of the run share."""
+    """The runs of each window of a crowded anchor, under the hash of their middles."""
     from xxhash import xxh3_64_intdigest
 
     for batch in batches:
         out: list[tuple] = []
         for row in batch.to_pylist():
-            window, lead = row["window"], row["pos"] - row["first"]
-            # Start offsets relative to the anchor, so equal strings fall into the same run.
-            for run in range(-(-(width - RUN + 1) // STEP)):
-                low, high = lead - run * STEP - (STEP - 1), lead - run * STEP
-                a, b = max(low, 0), min(high, len(window) - width)
-                if a <= b:
-                    core = window[high : low + width]
-                    key = xxh3_64_intdigest(core + run.to_bytes(2, "little"), row["h"] & (1 << 63) - 1)
-                    out.append((key - (1 << 64) if key >= 1 << 63 else key, row["h"], row["w1"], row["w2"], row["rid"], row["first"], row["n"], window))
-        cols = list(zip(*out)) if out else [[]] * 8
-        kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["k", *[c.split()[0] for c in _WINDOW.split(", ")]])
+            w = row["window"]
+            for run, a, b, c, d in runs_of(len(w), row["lead"], width):
+                key = xxh3_64_intdigest(w[c:d] + run.to_bytes(2, "little", signed=True), row["h"] & (1 << 63) - 1)
+                out.append((key - (1 << 64) if key >= 1 << 63 else key, row["h"], row["w1"], row["w2"], row["rid"], row["first"] + a, row["n"], row["lead"] - a, a, w[a : b + width]))
+        yield _window_batch(out, "k bigint, " + _WINDOW)
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,32 +459,29 @@ def numbered(docs: DataFrame) -> DataFrame:
 def repeated_spans(rows: DataFrame, width: int = 200, shard_bytes: int = 1 << 20, crowd: int = 2048) -> DataFrame:
     """rows (rid, t binary): spans rid, a, b of repeated strings; they may overlap."""
     texts = rows.select("rid", "t")
-    often = texts.mapInArrow(lambda it: _anchor_hashes(it, width), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    places = texts.mapInArrow(lambda it: _anchor_rows(it, width), "rid bigint, pos int, h bigint, w1 bigint, w2 bigint")
-    places = materialise(places.join(often, "h"))
-    kinds = materialise(places.groupBy("h", "w1", "w2").agg(F.min(F.struct("rid", "pos")).alias("one"), F.count("*").alias("n")))
+    made = materialise(texts.mapInArrow(lambda it: _anchor_rows(it, width), _PLACE))
+    often = made.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    places = materialise(made.join(often, "h"))
+    discard(made)
+    kinds = materialise(places.groupBy("h", "w1", "w2").agg(F.min(F.struct("rid", "first", "size", "lead")).alias("one"), F.count("*").alias("n")))
     many = kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    picks = kinds.join(many, "h").select("h", "w1", "w2", "n", "m", "one.rid", "one.pos")
-    by_row = picks.groupBy("rid").agg(F.collect_list(F.struct("pos", "h", "w1", "w2", "n")).alias("picks"))
-    windows = materialise(texts.join(by_row, "rid").mapInArrow(lambda it: _windows(it, width), _WINDOW))
+    picks = kinds.join(many, "h").select("h", "w1", "w2", "n", "one.*")
+    by_row = picks.groupBy("rid").agg(F.collect_list(F.struct("first", "size", "lead", "h", "w1", "w2", "n")).alias("picks"))
+    windows = materialise(texts.join(by_row, "rid").mapInArrow(_windows, _WINDOW))
     crowded = materialise(many.where(F.col("m") > crowd).select("h"))
     solve = lambda it: _shards(it, width, shard_bytes)
     spans_schema = "h bigint, w1 bigint, w2 bigint, a int, b int"
     plain = windows.join(crowded, "h", "left_anti").select(F.col("h").alias("k"), "*")
     found = plain.repartition("k").sortWithinPartitions("k").mapInArrow(solve, spans_schema)
     if not crowded.isEmpty():
-        packed = windows.join(crowded, "h").join(kinds.select("h", "w1", "w2", F.col("one.pos").alias("pos")), ["h", "w1", "w2"])
-        cores = packed.mapInArrow(lambda it: _cores(it, width), "k bigint, " + _WINDOW)
+        cores = windows.join(crowded, "h").select(*[c.split()[0] for c in _WINDOW.split(", ")]).mapInArrow(lambda it: _cores(it, width), "k bigint, " + _WINDOW)
         cores = materialise(cores)
-        shared = cores.groupBy("k").agg(F.count("*").alias("m"), F.max("n").alias("most")).where("m > 1").select("k")
+        shared = cores.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k")
         found = found.union(cores.join(shared, "k", "left_semi").repartition("k").sortWithinPartitions("k").mapInArrow(solve, spans_schema))
-    found = materialise(found)
-    partial = places.join(found, ["h", "w1", "w2"]).select("rid", (F.greatest(F.col("pos") - (width - RUN), F.lit(0)) + F.col("a")).alias("a"), (F.greatest(F.col("pos") - (width - RUN), F.lit(0)) + F.col("b")).alias("b"))
-    twice = kinds.where("n > 1").select("h", "w1", "w2")
-    begin = F.greatest(F.col("pos") - (width - RUN), F.lit(0))
-    sizes = texts.select("rid", F.octet_length("t").alias("size"))
-    whole = places.join(twice, ["h", "w1", "w2"]).join(sizes, "rid").select("rid", begin.alias("a"), F.least(F.col("pos") + width, "size").alias("b")).where(F.col("b") - F.col("a") >= width)
-    return partial.union(whole)
+    whole = kinds.where("n > 1").select("h", "w1", "w2", F.lit(0).alias("a"), F.col("one.size").alias("b"))
+    # A window that is repeated as a whole needs no other spans.
+    found = materialise(found.join(whole, ["h", "w1", "w2"], "left_anti").union(whole))
+    return places.join(found, ["h", "w1", "w2"]).select("rid", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
 
 
 def suffix_duplicates(docs: DataFrame, width: int = 200, shard_bytes: int = 1 << 20, crowd: int = 2048) -> DataFrame:
