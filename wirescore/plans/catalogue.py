@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import signal as S
 from ..functions import text as T
 from ..operators import metrics as M
+from ..operators import summaries
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +96,27 @@ def pcm16_mu_law(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.col("i").cast("bigint").alias("i"), F.col("x.p").alias("pcm"), F.col("x.m").alias("mu"))
 
 
+def pcma_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", S.a_law(S.pcm16(F.col("embedding"))).alias("c"))
+    rows = rows.select("vec_id", F.posexplode(F.arrays_zip("c", S.a_law_decode(F.col("c")).alias("d"))).alias("i", "x"))
+    return rows.select("vec_id", F.col("i").cast("bigint").alias("i"), F.col("x.c").alias("code"), F.rint(F.col("x.d").cast("double") * 32768).cast("int").alias("pcm"))
+
+
+def resample_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", S.resample(F.col("embedding"), F.lit(16000), S.TELEPHONE_RATE).alias("half"))
+
+
+def partial_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of a conversation as partial transcripts, its last turn as the final one."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", (F.col("turn") == F.max("turn").over(Window.partitionBy("conv_id"))).alias("is_final"))
+    return summaries.partial_stability(rows, "conv_id", "turn").select("conv_id", F.round("stability", 9).alias("stability"))
+
+
+def load_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_type", F.lit(1.0).alias("audio_seconds"), F.col("value").alias("latency_seconds"))
+    return summaries.load_summary(rows, 60.0, "event_type")
+
+
 def frame_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(S.frames(F.col("embedding"), 20)).alias("frame", "x"))
     return rows.select("vec_id", F.col("frame").cast("bigint").alias("frame"), F.size("x").cast("bigint").alias("n"))
@@ -131,9 +153,18 @@ _SQL = {
     "pcm16_mu_law": """
         WITH p AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
         q AS (SELECT vec_id, i, least(greatest(round_even(least(greatest(x, -1), 1) * 32768, 0), -32768), 32767)::INT AS pcm FROM p),
-        m AS (SELECT *, least(abs(pcm), 32635) + 132 AS m FROM q),
+        m AS (SELECT *, least(4 * abs(pcm >> 2), 32635) + 132 AS m FROM q),
         s AS (SELECT *, (m > 255)::INT + (m > 511)::INT + (m > 1023)::INT + (m > 2047)::INT + (m > 4095)::INT + (m > 8191)::INT + (m > 16383)::INT AS s FROM m)
         SELECT vec_id, i, pcm, xor(s * 16 + ((m >> (s + 3)) & 15), CASE WHEN pcm < 0 THEN 127 ELSE 255 END) AS mu FROM s""",
+    "pcma_round_trip": """
+        WITH p AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+        q AS (SELECT vec_id, i, least(greatest(round_even(least(greatest(x, -1), 1) * 32768, 0), -32768), 32767)::INT AS pcm FROM p),
+        m AS (SELECT vec_id, i, pcm, CASE WHEN pcm < 0 THEN -(pcm >> 3) - 1 ELSE pcm >> 3 END AS m FROM q),
+        s AS (SELECT *, (m > 31)::INT + (m > 63)::INT + (m > 127)::INT + (m > 255)::INT + (m > 511)::INT + (m > 1023)::INT + (m > 2047)::INT AS s FROM m),
+        c AS (SELECT *, s * 16 + ((m >> greatest(s, 1)) & 15) AS c FROM s)
+        SELECT vec_id, i, xor(c, CASE WHEN pcm < 0 THEN 85 ELSE 213 END) AS code,
+               (CASE WHEN pcm < 0 THEN -1 ELSE 1 END) * (CASE WHEN s = 0 THEN 16 * (c & 15) + 8 ELSE (16 * (c & 15) + 264) << (s - 1) END) AS pcm FROM c""",
+    "load_by_type": "SELECT event_type, count(*) AS item_count, count(*)::DOUBLE AS total_audio_seconds, 60.0::DOUBLE AS wall_seconds, count(*) / 60.0::DOUBLE AS audio_throughput, quantile_disc(value, 0.5) AS latency_p50, quantile_disc(value, 0.95) AS latency_p95, max(value) AS latency_max FROM events GROUP BY 1",
     "frame_split": "SELECT vec_id, f AS frame, least(20, len(embedding) - 20 * f) AS n FROM (SELECT vec_id, embedding, unnest(range((len(embedding) + 19) // 20)) AS f FROM embeddings)",
     "signal_rms": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)), 6) AS rms FROM embeddings",
 }
@@ -144,7 +175,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             normalize_text_rows, word_counts, wer_adjacent_turns, cer_adjacent_turns, wer_corpus_by_role, entity_extract, entity_preservation, latency_percentiles, nullable_metrics, ratio_metrics,
-            running_total, first_event_per_user, duplicate_ids, missing_labels, gain_clip, pcm16_mu_law, frame_split, signal_rms, channel_noise, channel_loss,
+            running_total, first_event_per_user, duplicate_ids, missing_labels, gain_clip, pcm16_mu_law, pcma_round_trip, resample_half, partial_stability, load_by_type, frame_split, signal_rms, channel_noise, channel_loss,
         )
     }
 
