@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 from collections import defaultdict
 
@@ -166,6 +167,62 @@ def test_lines(spark):
     assert kept[2] == "\nother line here" and 6 not in kept and kept[5] == "\n" and kept[4] is None
 
 
+def test_line_groups_match_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(300)]
+    texts = []
+    for _ in range(6):
+        base = rng.choices(vocabulary, k=40)
+        for _ in range(12):
+            words = list(base)
+            for _ in range(rng.randint(0, 5)):
+                at = rng.randrange(len(words))
+                words[at : at + 1] = rng.choice([[], [rng.choice(vocabulary)], [words[at], rng.choice(vocabulary)]])
+            texts.append(" ".join(words))
+    texts += [" ".join(vocabulary[:40]), " ".join(vocabulary[39::-1])]
+    docs = frame(spark, list(enumerate(texts)))
+    lines = line_dedup.occurrences(docs).select("id", "f", "doc_id").collect()
+    first = {r["id"]: r["doc_id"] for r in reversed(lines)}
+    prints = {r["id"]: r["f"] for r in lines}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    root = {i: i for i in first}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, y in itertools.combinations(sorted(first), 2):
+        a, b = texts[first[x]], texts[first[y]]
+        if bin((prints[x] ^ prints[y]) & (2**64 - 1)).count("1") <= 3 and distance(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9):
+            low, high = sorted((top(x), top(y)))
+            root[high] = low
+    groups = {}
+    for r in lines:
+        groups.setdefault(top(r["id"]), set()).add(r["doc_id"])
+    want = {(d, min(g)) for g in groups.values() for d in g if d != min(g)}
+    assert len(want) > 10
+    assert {(r["doc_id"], r["keep_doc_id"]) for r in line_dedup.line_duplicates(docs).collect()} == want
+
+
+def test_edit_similarity_of_cut_lines(spark):
+    pairs = [("a b c", "a b d"), ("one two", "one two three"), ("x" * 40 + " y", "x" * 40), ("p q r s t u v w", "q r s t u v w p"), ("aa " * 30 + "b", "aa " * 29 + "b"), ("é" * 20, "é" * 19 + "e")]
+    rows = spark.createDataFrame([(i, i, a, b) for i, (a, b) in enumerate(pairs)], "x long, y long, a string, b string")
+    plain = "levenshtein(a, b) <= cast(floor((1 - {s}) * greatest(char_length(a), char_length(b)) + 1e-9) as int)"
+    for s in (0.5, 0.8, 0.9, 0.95):
+        want = {r["x"]: r["near"] for r in rows.selectExpr("x", plain.format(s=s) + " as near").collect()}
+        got = {r["x"]: r["near"] for r in line_dedup.judged(rows, s).collect()}
+        assert all(got.get(x, False) == near for x, near in want.items())
+
+
 def test_labeller():
     net, rng = html_extract.train(), random.Random(77)
     right = total = 0
