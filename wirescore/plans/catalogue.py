@@ -9,6 +9,7 @@ from ..functions import signal as S
 from ..functions import text as T
 from ..operators import metrics as M
 from ..operators import summaries
+from ..operators.fingerprint import item_bytes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,6 +118,12 @@ def load_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.load_summary(rows, 60.0, "event_type")
 
 
+def fingerprint_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document adds to a fingerprint, as a digest; its source stands in for the audio."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("reference"), F.col("lang").alias("language"), F.coalesce("source", F.lit("")).cast("binary").alias("content"))
+    return item_bytes(rows, "doc_id").select("doc_id", F.sha2("bytes", 256).alias("digest"))
+
+
 def frame_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(S.frames(F.col("embedding"), 20)).alias("frame", "x"))
     return rows.select("vec_id", F.col("frame").cast("bigint").alias("frame"), F.size("x").cast("bigint").alias("n"))
@@ -165,6 +172,10 @@ _SQL = {
         SELECT vec_id, i, xor(c, CASE WHEN pcm < 0 THEN 85 ELSE 213 END) AS code,
                (CASE WHEN pcm < 0 THEN -1 ELSE 1 END) * (CASE WHEN s = 0 THEN 16 * (c & 15) + 8 ELSE (16 * (c & 15) + 264) << (s - 1) END) AS pcm FROM c""",
     "load_by_type": "SELECT event_type, count(*) AS item_count, count(*)::DOUBLE AS total_audio_seconds, 60.0::DOUBLE AS wall_seconds, count(*) / 60.0::DOUBLE AS audio_throughput, quantile_disc(value, 0.5) AS latency_p50, quantile_disc(value, 0.95) AS latency_p95, max(value) AS latency_max FROM events GROUP BY 1",
+    "fingerprint_items": """
+        WITH b AS (SELECT doc_id, encode(doc_id::VARCHAR) AS i, encode(coalesce(text, '')) AS t,
+                          CASE WHEN lang IS NULL THEN unhex('00') ELSE unhex('01') || encode(lang) END AS l, unhex(sha256(coalesce(source, ''))) AS a FROM documents)
+        SELECT doc_id, sha256(unhex(concat(printf('%016x', octet_length(i)), hex(i), printf('%016x', octet_length(t)), hex(t), printf('%016x', octet_length(l)), hex(l), printf('%016x', octet_length(a)), hex(a)))) AS digest FROM b""",
     "frame_split": "SELECT vec_id, f AS frame, least(20, len(embedding) - 20 * f) AS n FROM (SELECT vec_id, embedding, unnest(range((len(embedding) + 19) // 20)) AS f FROM embeddings)",
     "signal_rms": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)), 6) AS rms FROM embeddings",
 }
@@ -175,7 +186,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             normalize_text_rows, word_counts, wer_adjacent_turns, cer_adjacent_turns, wer_corpus_by_role, entity_extract, entity_preservation, latency_percentiles, nullable_metrics, ratio_metrics,
-            running_total, first_event_per_user, duplicate_ids, missing_labels, gain_clip, pcm16_mu_law, pcma_round_trip, resample_half, partial_stability, load_by_type, frame_split, signal_rms, channel_noise, channel_loss,
+            running_total, first_event_per_user, duplicate_ids, missing_labels, gain_clip, pcm16_mu_law, pcma_round_trip, resample_half, partial_stability, load_by_type, fingerprint_items, frame_split, signal_rms, channel_noise, channel_loss,
         )
     }
 
