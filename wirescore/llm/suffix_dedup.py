@@ -452,8 +452,9 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """Rows rid, doc_id, t. The rid tells rows apart: it is the row's place in the table as stored."""
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("t"))
+    """Rows rid, doc_id, t. The rid tells rows apart. It comes from how the plan splits its files, so it is
+    written once: every later read sees the same, whatever cores are there by then."""
+    return materialise(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("t")))
 
 
 def repeated_spans(rows: DataFrame, width: int = 200, shard_bytes: int = 1 << 20, crowd: int = 2048) -> DataFrame:
