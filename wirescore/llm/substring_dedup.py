@@ -7,9 +7,14 @@ between them) and digested with 128 bits. Digests are grouped over all documents
 of lowest rank (doc_id, then row, then offset) stays, and every other one is reported with its
 offsets in the original text.
 
-Units of fewer than `least_words` words are not unlikely to be equal by chance and take no part.
-
-Edge cases. Null and empty texts have no units. Rows with the same doc_id and text are one
+Sentences of fewer than `least_words` words are not unlikely to be equal by chance. Those that follow
+each other in a line are joined, and cut again after words whose hash says so. What is still shorter
+is digested together with its neighbours in the line, so it counts as repeated where they are
+repeated with it; a line that is one unit counts whole, however short. So every word of a repeated
+line belongs to a repeated unit.
+
+Edge cases. Null and empty texts and lines without a word have no units. Text without spaces has few
+words, so its lines are mostly found as a whole only. Rows with the same doc_id and text are one
 document. A null doc_id ranks first. Offsets count code points from 0; `end` is exclusive. Other
 columns are not read.
 """
@@ -31,20 +36,16 @@ _WORD = re.compile(r"\w+")
 #: A stretch of more words than this is cut after words whose hash divides by CUT.
 LONG = 24
 CUT = 8
+#: The same for joined short sentences, which are cut after one of them.
+SHORT_CUT = 2
 
 UNITS = "doc_id bigint, row bigint, start int, end int, n_words int, d1 bigint, d2 bigint"
 
 
 def units(text: str, least_words: int = 5) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of each unit of at least so many words."""
-    from xxhash import xxh3_128_digest
-
-    out = []
-
-    def add(start: int, end: int, words: list[str]) -> None:
-        if len(words) >= least_words:
-            out.append((start, end, len(words), xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))))
-
+    """(start, end, words, digest) of each unit."""
+    out: list[tuple[int, int, int, bytes]] = []
+    line: list[tuple[int, int, list[str]]] = []
     low = text.lower()
     plain = len(low) == len(text)
     for m in _SENTENCE.finditer(text):
@@ -53,20 +54,59 @@ def units(text: str, least_words: int = 5) -> list[tuple[int, int, int, bytes]]:
             continue
         part = low[a:b] if plain else text[a:b].lower()
         words = _WORD.findall(part)
+        if words:
+            line.append((a + len(part) - len(part.lstrip()), a + len(text[a:b].rstrip()), words))
+        if text[b - 1] == "\n":
+            out += _digests(_cut(text, line, least_words), least_words)
+            line = []
+    return out + _digests(_cut(text, line, least_words), least_words)
+
+
+def _last(word: str, cut: int) -> bool:
+    return crc32(word.encode("utf-8", "surrogatepass")) % cut == 0
+
+
+def _cut(text: str, sentences: list[tuple[int, int, list[str]]], least_words: int) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of the pieces of a line: every word is in one."""
+    out: list[tuple[int, int, list[str]]] = []
+    held: list[str] = []
+    start = end = 0
+    for a, b, words in sentences:
+        if len(words) < least_words:
+            start, end = (start if held else a), b
+            held = held + words
+            if len(held) >= least_words and (len(held) > LONG or _last(held[-1], SHORT_CUT)):
+                out.append((start, end, held))
+                held = []
+            continue
+        if held:
+            out.append((start, end, held))
+            held = []
         if len(words) <= LONG:
-            if len(words) >= least_words:
-                lead = len(part) - len(part.lstrip())
-                add(a + lead, a + len(text[a:b].rstrip()), words)
+            out.append((a, b, words))
             continue
-        start, held = None, []
         for w in _WORD.finditer(text, a, b):
-            start = w.start() if start is None else start
+            start = start if held else w.start()
             held.append(w.group().lower())
-            if crc32(held[-1].encode("utf-8", "surrogatepass")) % CUT == 0 and len(held) >= least_words:
-                add(start, w.end(), held)
-                start, held = None, []
+            if len(held) >= least_words and _last(held[-1], CUT):
+                out.append((start, w.end(), held))
+                held = []
         if held:
-            add(start, a + len(text[a:b].rstrip()), held)
+            out.append((start, b, held))
+            held = []
+    return out + [(start, end, held)] if held else out
+
+
+def _digests(pieces: list[tuple[int, int, list[str]]], least_words: int) -> list[tuple[int, int, int, bytes]]:
+    from xxhash import xxh3_128_digest
+
+    out = []
+    for i, (start, end, words) in enumerate(pieces):
+        said = " ".join(words)
+        if len(words) < least_words and len(pieces) > 1:
+            near = [" ".join(pieces[j][2]) if 0 <= j < len(pieces) else "" for j in (i - 1, i + 1)]
+            said = "\0".join([near[0], said, near[1]])
+        out.append((start, end, len(words), xxh3_128_digest(said.encode("utf-8", "surrogatepass"))))
     return out
 
 
