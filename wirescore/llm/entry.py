@@ -17,7 +17,7 @@ def queries() -> dict:
         "op7_language_id": lambda s, d: language_id.identify(table(s, d, "documents")),
         "op8_suffix_array_dedup": lambda s, d: suffix_dedup.suffix_duplicates(table(s, d, "documents")),
         "op9_bpe_round_trip": lambda s, d: bpe_reuse.round_trip(table(s, d, "documents")),
-        "op10_line_dedup": lambda s, d: line_dedup.line_duplicates(table(s, d, "documents")),
+        "op10_line_dedup": lambda s, d: line_dedup.line_duplicates(table(s, d, "documents"), wide=True),
     }
 
 
