@@ -162,9 +162,9 @@ def test_lines(spark):
     long = " ".join(f"word{i}" for i in range(60))
     docs = [(1, long + "\nalpha beta"), (2, long + " \n\nother line here"), (3, long + "x\nAlpha, beta!"), (4, None), (5, "\n"), (6, long)]
     got = {(r["doc_id"], r["line_no"], r["keep_doc_id"]) for r in line_dedup.line_duplicates(frame(spark, docs)).collect()}
-    assert {(2, 0, 1), (3, 1, 1), (6, 0, 1)} <= got <= {(2, 0, 1), (3, 1, 1), (6, 0, 1), (3, 0, 1)}
+    assert got == {(2, 0, 1), (3, 1, 1), (6, 0, 1), (3, 0, 1)}
     kept = {r["doc_id"]: r["text"] for r in line_dedup.dedup_stage(frame(spark, docs)).collect()}
-    assert kept[2] == "\nother line here" and 6 not in kept and kept[5] == "\n" and kept[4] is None
+    assert kept[2] == "\nother line here" and 3 not in kept and 6 not in kept and kept[5] == "\n" and kept[4] is None
 
 
 def test_line_groups_match_brute_force(spark):
@@ -181,9 +181,8 @@ def test_line_groups_match_brute_force(spark):
             texts.append(" ".join(words))
     texts += [" ".join(vocabulary[:40]), " ".join(vocabulary[39::-1])]
     docs = frame(spark, list(enumerate(texts)))
-    lines = line_dedup.occurrences(docs).select("id", "f", "doc_id").collect()
+    lines = line_dedup.occurrences(docs).select("id", "doc_id").collect()
     first = {r["id"]: r["doc_id"] for r in reversed(lines)}
-    prints = {r["id"]: r["f"] for r in lines}
 
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -202,7 +201,7 @@ def test_line_groups_match_brute_force(spark):
 
     for x, y in itertools.combinations(sorted(first), 2):
         a, b = texts[first[x]], texts[first[y]]
-        if bin((prints[x] ^ prints[y]) & (2**64 - 1)).count("1") <= 3 and distance(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9):
+        if distance(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9):
             low, high = sorted((top(x), top(y)))
             root[high] = low
     groups = {}

@@ -6,7 +6,7 @@ ignored, so a substituted word does not hide a match from every mask. The seed h
 benchmark, sorted, are joined in each map task with those of the documents, all positions of all
 documents. Around each hit the document and the item are laid side by side, and the best run
 (a match counts 1, a substitution -4, so a run has at least four matches in five) is kept: an
-overlap is reported from `least_matches` matching words on.
+overlap is reported from `least_matches` matching words on, or from all words of a shorter item.
 
 The benchmark goes to the tasks in blocks of at most `block_bytes`; however large it grows, the
 documents are read against one bounded block after another.
@@ -147,48 +147,76 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int,
     return best
 
 
+#: In a worker: the last block of items and its index.
+_BUILT: list[tuple[tuple, "Benchmark"]] = []
+
+
+def _index(shared) -> "Benchmark":
+    """The index of a broadcast block of items, made once a worker rather than once a task."""
+    block = shared.value
+    if not _BUILT or _BUILT[0][0] is not block:
+        _BUILT[:] = [(block, Benchmark(*block))]
+    return _BUILT[0][1]
+
+
+def _overlaps(bench: Benchmark, texts: list[bytes], least: int) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """(text, item): (matches, less the first word, words) of the best overlap of each pair that has one."""
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for a, b in slices([len(t) for t in texts], 1 << 20):
+        words = words_of(texts[a:b])
+        for text, item, diagonal in bench.hits(words):
+            doc = words.hashes[words.first[text] : words.first[text + 1]]
+            own = bench.words.hashes[bench.words.first[item] : bench.words.first[item + 1]]
+            matches, start, n = overlap(doc, own, diagonal)
+            if matches >= min(least, len(own)):
+                best[a + text, item] = max(best.get((a + text, item), (0, 0, 0)), (matches, -start, n))
+    return best
+
+
 def _search(batches: Iterator[pa.RecordBatch], bench: Benchmark, least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()
-        texts = [t or b"" for t in batch.column("t").to_pylist()]
-        rows = []
-        for a, b in slices([len(t) for t in texts], 1 << 20):
-            words, best = words_of(texts[a:b]), {}
-            for text, item, diagonal in bench.hits(words):
-                doc = words.hashes[words.first[text] : words.first[text + 1]]
-                own = bench.words.hashes[bench.words.first[item] : bench.words.first[item + 1]]
-                matches, start, n = overlap(doc, own, diagonal)
-                if matches >= least:
-                    best[text, item] = max(best.get((text, item), (0, 0, 0)), (matches, -start, n))
-            rows += [(ids[a + text], bench.ids[item], -start, n, m) for (text, item), (m, start, n) in best.items()]
+        best = _overlaps(bench, [t or b"" for t in batch.column("t").to_pylist()], least)
+        rows = [(ids[text], bench.ids[item], -start, n, m) for (text, item), (m, start, n) in best.items()]
         cols = list(zip(*rows)) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "doc_word", "n_words", "n_matches"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least_matches: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
-    """Rows doc_id, item_id, doc_word (first word of the overlap in the document), n_words,
-    n_matches, similarity: the best overlap of each document and item that have one."""
-    spark = docs.sparkSession
+def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator:
+    """Broadcasts of (ids, texts): the items in blocks of about block_bytes of text, by a hash of the text."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("binary").alias("t")).where("t is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()["b"]
     blocks = -(-total // block_bytes) or 1
+    for n in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == n).orderBy("item_id", "t").collect()
+        if block or not n:
+            yield benchmark.sparkSession.sparkContext.broadcast(([r["item_id"] for r in block], [bytes(r["t"]) for r in block]))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least_matches: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
+    """Rows doc_id, item_id, doc_word (first word of the overlap in the document), n_words,
+    n_matches, similarity: the best overlap of each document and item that have one."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("t")).where("t is not null")
     out = None
-    for n in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n).orderBy("item_id").collect()
-        if not block and n:
-            continue
-        shared = spark.sparkContext.broadcast(([r["item_id"] for r in block], [bytes(r["t"]) for r in block]))
+    for shared in item_blocks(benchmark, block_bytes):
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared, least=least_matches) -> Iterator[pa.RecordBatch]:
-            yield from _search(batches, Benchmark(*shared.value), least)
+            yield from _search(batches, _index(shared), least)
 
         found = rows.mapInArrow(search, "doc_id bigint, item_id bigint, doc_word bigint, n_words bigint, n_matches bigint")
         out = found if out is None else out.union(found)
     return out.withColumn("similarity", F.col("n_matches") / F.col("n_words"))
 
 
-def decontaminate_stage(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that overlap a benchmark item; all columns as they came."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("bad_id"), "left_anti")
+def decontaminate_stage(docs: DataFrame, benchmark: DataFrame, least_matches: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
+    """docs without the documents that overlap a benchmark item, judged row by row; all columns as they
+    came, whatever their names. Documents without a doc_id are judged like any other; null texts stay."""
+    for shared in item_blocks(benchmark, block_bytes):
+
+        @F.arrow_udf(returnType="boolean")
+        def leaks(texts: pa.Array, shared=shared) -> pa.Array:
+            found = {text for text, _ in _overlaps(_index(shared), [t or b"" for t in texts.to_pylist()], least_matches)}
+            return pa.array([i in found for i in range(len(texts))], pa.bool_())
+
+        docs = docs.where(~leaks(F.col("text").cast("binary")))
+    return docs

@@ -18,11 +18,14 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNDETERMINED = "und"
+#: A long text is compressed in blocks of so many bytes, each against the fresh dictionary, so that what a
+#: dictionary saves, and with it the margin, does not fade with the length.
+BLOCK = 256 << 10
 #: ASCII bytes that are not letters become spaces; bytes of other characters stay.
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -59,7 +62,7 @@ def fit(
     """Learn from the rows where `training` holds and the language is not null.
 
     The sample is bounded: about `sample_rows` rows a language, drawn by a hash of the key, of
-    at most `longest_sample` bytes each, and of them whole texts up to `dictionary_bytes`.
+    at most `longest_sample` characters each, and of them the first `dictionary_bytes`.
     """
     rows = docs.where(training & F.col(lang).isNotNull()).select(F.col(lang).alias("l"), F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
@@ -67,14 +70,14 @@ def fit(
         return LanguageModel((), (), level, min_margin)
     draw = F.xxhash64(F.coalesce("k", F.lit("")), F.lit(7))
     every = F.create_map(*[F.lit(x) for l, n in sorted(counts.items()) for x in (l, max(1, n // sample_rows))])
-    fits = F.octet_length("t").between(1, longest_sample)
-    taken = rows.where(fits & (F.pmod(draw, every[F.col("l")]) == 0)).select("l", "t", draw.alias("o")).collect()
+    some = rows.where((F.octet_length("t") > 0) & (F.pmod(draw, every[F.col("l")]) == 0))
+    taken = some.select("l", F.substring("t", 1, longest_sample).alias("t"), draw.alias("o")).collect()
     best = sorted(counts, key=lambda l: (-counts[l], l))
     parts: dict[str, list[bytes]] = {l: [] for l in best}
     room = dict.fromkeys(best, dictionary_bytes)
     for r in sorted(taken, key=lambda r: (r["l"], r["o"], r["t"])):
-        piece = fold(r["t"]) + b" "
-        if 1 < len(piece) <= room[r["l"]]:
+        piece = (fold(r["t"]) + b" ")[: room[r["l"]]]
+        if len(piece) > 1:
             parts[r["l"]].append(piece)
             room[r["l"]] -= len(piece)
     kept = tuple(l for l in best if parts[l])
@@ -98,7 +101,8 @@ def predict_one(model: LanguageModel, text: str | None) -> tuple[str, float, boo
     folded = fold(text) if text else b""
     if not model.languages or not folded or not any(c.isalpha() for c in text):
         return UNDETERMINED, 0.0, True
-    sizes = [len(c.compress(folded)) for c in _compressors(model)]
+    parts = [folded[i : i + BLOCK] for i in range(0, len(folded), BLOCK)]
+    sizes = [sum(len(c.compress(part)) for part in parts) for c in _compressors(model)]
     order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
     if len(order) == 1:
         return model.languages[0], 1.0, False
@@ -107,11 +111,12 @@ def predict_one(model: LanguageModel, text: str | None) -> tuple[str, float, boo
 
 
 def predict(model: LanguageModel, text: Column) -> Column:
-    """A struct column (lang_pred, score, rejected)."""
+    """A struct column (lang_pred, score, rejected). The model, of bounded size, is broadcast."""
+    shared = SparkSession.active().sparkContext.broadcast(model)
 
     @F.arrow_udf(returnType=RESULT)
     def classify(texts: pa.Array) -> pa.Array:
-        return pa.array([dict(zip(("lang_pred", "score", "rejected"), predict_one(model, t))) for t in texts.to_pylist()], type=ARROW_RESULT)
+        return pa.array([dict(zip(("lang_pred", "score", "rejected"), predict_one(shared.value, t))) for t in texts.to_pylist()], type=ARROW_RESULT)
 
     return classify(text)
 
@@ -129,6 +134,7 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 
 
 def filter_stage(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents whose language is rejected; all columns as they came."""
+    """docs without the documents whose language is rejected, null texts among them; repeated rows are judged
+    alike, a null doc_id counts as the empty text; all columns as they came, whatever their names."""
     model = fit(docs, ~held_out(), **options)
     return docs.where(~predict(model, F.col("text"))["rejected"])

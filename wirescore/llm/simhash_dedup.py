@@ -227,20 +227,33 @@ def fingerprint_links(prints: DataFrame, anchor_rows: int = 4096) -> DataFrame:
 # ---- the operator
 
 
-def near_duplicates(docs: DataFrame, anchor_rows: int = 4096) -> DataFrame:
-    """Rows doc_id, fingerprint (16 hex digits), component_id: one for each row of docs."""
-    marked = materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), fingerprint(F.col("text")).alias("v")))
+def _components(marked: DataFrame, anchor_rows: int) -> DataFrame:
+    """marked (doc_id, v): rows v, root, component_id, one for each fingerprint."""
     prints = materialise(marked.groupBy("v").agg(F.min("doc_id").alias("rep")))
     found = connected_components(fingerprint_links(prints.select("v"), anchor_rows), "a", "b")
     rooted = prints.join(found.select(F.col("node").alias("v"), "root"), "v", "left").select("v", "rep", F.coalesce("root", "v").alias("root"))
     low = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = materialise(rooted.join(low, "root").select("v", "component_id"))
+    of = materialise(rooted.join(low, "root").select("v", "root", "component_id"))
     discard(prints)
+    return of
+
+
+def near_duplicates(docs: DataFrame, anchor_rows: int = 4096) -> DataFrame:
+    """Rows doc_id, fingerprint (16 hex digits), component_id: one for each row of docs."""
+    marked = materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), fingerprint(F.col("text")).alias("v")))
+    of = _components(marked, anchor_rows).drop("root")
     return marked.join(of, "v").select("doc_id", F.lower(F.lpad(F.hex("v"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup_stage(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each component, the one of the smallest doc_id; all columns as
-    they came. Of repeated rows with that doc_id, all stay, as they are one document."""
-    kept = near_duplicates(docs, **options).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("kept_id"), "left_semi")
+def dedup_stage(docs: DataFrame, anchor_rows: int = 4096) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id, rows without one last, and of several
+    with that doc_id the one whose text has the smallest hash. Rows with the same doc_id and text are
+    one document, of which one row stays. All columns as they came, whatever their names."""
+    names = docs.columns
+    identity = [F.col("doc_id").isNull().alias("k0"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0).cast("bigint")).alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2")]
+    marked = materialise(docs.select(*identity, F.col("doc_id").cast("bigint").alias("doc_id"), fingerprint(F.col("text")).alias("v")))
+    of = _components(marked, anchor_rows).select("v", "root")
+    kept = marked.join(of, "v").groupBy("root").agg(F.min(F.struct("k0", "k1", "k2")).alias("keep")).select("keep.*")
+    # Repeated rows meet before the exchange already, so a row repeated very often is no hot key.
+    rows = docs.select(*identity, F.struct(*[F.col(f"`{c}`") for c in names]).alias("r")).groupBy("k0", "k1", "k2").agg(F.first("r").alias("r"))
+    return rows.join(kept, ["k0", "k1", "k2"], "left_semi").select(*[F.col(f"r.`{c}`").alias(c) for c in names])
