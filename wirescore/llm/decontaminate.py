@@ -212,11 +212,16 @@ def decontaminate_stage(docs: DataFrame, benchmark: DataFrame, least_matches: in
     """docs without the documents that overlap a benchmark item, judged row by row; all columns as they
     came, whatever their names. Documents without a doc_id are judged like any other; null texts stay."""
     for shared in item_blocks(benchmark, block_bytes):
+        docs = docs.where(~_leaks(shared, least_matches)(F.col("text").cast("binary")))
+    return docs
 
-        @F.arrow_udf(returnType="boolean")
-        def leaks(texts: pa.Array, shared=shared) -> pa.Array:
-            found = {text for text, _ in _overlaps(_index(shared), [t or b"" for t in texts.to_pylist()], least_matches)}
-            return pa.array([i in found for i in range(len(texts))], pa.bool_())
 
-        docs = docs.where(~leaks(F.col("text").cast("binary")))
-    return docs
+def _leaks(shared, least: int):
+    """An Arrow UDF of texts: whether one overlaps an item of a block."""
+
+    @F.arrow_udf(returnType="boolean")
+    def leaks(texts: pa.Array) -> pa.Array:
+        found = {text for text, _ in _overlaps(_index(shared), [t or b"" for t in texts.to_pylist()], least)}
+        return pa.array([i in found for i in range(len(texts))], pa.bool_())
+
+    return leaks
