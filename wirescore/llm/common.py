@@ -23,12 +23,13 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def materialise(df: DataFrame, compression: str = "snappy") -> DataFrame:
+def materialise(df: DataFrame, compression: str = "snappy", plain: tuple[str, ...] = ()) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a lost
-    executor costs nothing that was written."""
+    executor costs nothing that was written. Columns in plain are not tried against a dictionary."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/scratch-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    options = {f"parquet.enable.dictionary#{c}": "false" for c in plain}
+    df.write.option("compression", compression).options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
