@@ -150,12 +150,13 @@ def test_leaks(spark):
 def test_sentences(spark):
     passage = "one two three four five six. seven eight nine ten eleven twelve thirteen."
     docs = [(1, "start of it all " + passage), (2, "another beginning. " + passage + " end"), (3, None), (4, "short. one two.")]
-    rows = substring_dedup.substring_duplicates(frame(spark, docs)).collect()
+    rows = substring_dedup.substring_duplicates(frame(spark, docs), least_run=7).collect()
     assert [(r["doc_id"], r["keep_doc_id"]) for r in rows] and all(r["doc_id"] == 2 for r in rows)
     text = dict(docs)[2]
     assert any(text[r["start"] : r["end"]] == "seven eight nine ten eleven twelve thirteen." for r in rows)
-    clean = {r["doc_id"]: r["text"] for r in substring_dedup.cleaned(frame(spark, docs)).collect()}
+    clean = {r["doc_id"]: r["text"] for r in substring_dedup.cleaned(frame(spark, docs), least_run=7).collect()}
     assert clean[1] == docs[0][1] and "seven" not in clean[2] and clean[3] is None
+    assert substring_dedup.substring_duplicates(frame(spark, docs)).collect() == []
 
 
 def test_lines(spark):

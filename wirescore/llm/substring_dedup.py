@@ -10,8 +10,12 @@ offsets in the original text.
 Sentences of fewer than `least_words` words are not unlikely to be equal by chance. Those that follow
 each other in a line are joined, and cut again after words whose hash says so. What is still shorter
 is digested together with its neighbours in the line, so it counts as repeated where they are
-repeated with it; a line that is one unit counts whole, however short. So every word of a repeated
-line belongs to a repeated unit.
+repeated with it; a line that is one unit counts whole. So every word of a repeated line belongs to a
+repeated unit.
+
+A short unit says little by itself: most documents share a sentence with another by chance. Units are
+removed in runs: of neighbouring units that are all repeated, with `least_run` words together at least.
+Shorter runs stay; repeated lines however short are the business of the line operator.
 
 Edge cases. Null and empty texts and lines without a word have no units. Text without spaces has few
 words, so its lines are mostly found as a whole only. Rows with the same doc_id and text are one
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, slices
@@ -39,7 +43,7 @@ CUT = 8
 #: The same for joined short sentences, which are cut after one of them.
 SHORT_CUT = 2
 
-UNITS = "doc_id bigint, row bigint, start int, end int, n_words int, d1 bigint, d2 bigint"
+UNITS = "doc_id bigint, row bigint, no int, start int, end int, n_words int, d1 bigint, d2 bigint"
 
 
 def units(text: str, least_words: int = 5) -> list[tuple[int, int, int, bytes]]:
@@ -112,15 +116,15 @@ def _digests(pieces: list[tuple[int, int, list[str]]], least_words: int) -> list
 
 def _units(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in UNITS.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
     for batch in batches:
         ids, rows, texts = (batch.column(i).to_pylist() for i in range(3))
         for a, b in slices([len(t or "") for t in texts], 1 << 20):
             cols: list[list] = [[] for _ in names]
             for i in range(a, b):
-                for start, end, n, digest in units(texts[i] or "", least_words):
+                for no, (start, end, n, digest) in enumerate(units(texts[i] or "", least_words)):
                     d1, d2 = int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
-                    for c, v in zip(cols, (ids[i], rows[i], start, end, n, d1, d2)):
+                    for c, v in zip(cols, (ids[i], rows[i], no, start, end, n, d1, d2)):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
@@ -131,23 +135,28 @@ def units_of(docs: DataFrame, least_words: int = 5) -> DataFrame:
     return rows.mapInArrow(lambda batches: _units(batches, least_words), UNITS)
 
 
-def repeated_spans(docs: DataFrame, least_words: int = 5) -> DataFrame:
-    """Rows doc_id, start, end, n_words, keep_doc_id, keep_start: each removed unit, and row."""
-    every = units_of(docs, least_words)
+def repeated_spans(docs: DataFrame, least_words: int = 5, least_run: int = 24) -> DataFrame:
+    """Rows doc_id, row, start, end, n_words, keep_doc_id, keep_start: each removed unit."""
+    every = materialise(units_of(docs, least_words))
     rank = F.struct("doc_id", "row", "start")
     groups = every.groupBy("d1", "d2").agg(F.min(rank).alias("keep"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "keep")
-    groups = materialise(groups)
-    gone = every.join(groups, ["d1", "d2"]).where(~rank.eqNullSafe(F.col("keep")))
-    return gone.select("doc_id", "row", "start", "end", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"))
+    later = every.join(groups, ["d1", "d2"]).where(~rank.eqNullSafe(F.col("keep")))
+    # Neighbours have one difference of number and rank. Rows that are one document have each unit several times.
+    doc = Window.partitionBy("doc_id", "row")
+    runs = later.withColumn("run", F.col("no") - F.dense_rank().over(doc.orderBy("no")))
+    words = F.sum("n_words").over(Window.partitionBy("doc_id", "row", "run")) / F.count("*").over(Window.partitionBy("doc_id", "row", "run", "no"))
+    long = runs.withColumn("words", words).where(F.col("words") >= least_run)
+    return long.select("doc_id", "row", "start", "end", "n_words", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"))
 
 
-def substring_duplicates(docs: DataFrame, least_words: int = 5) -> DataFrame:
-    return repeated_spans(docs, least_words).drop("row")
+def substring_duplicates(docs: DataFrame, least_words: int = 5, least_run: int = 24) -> DataFrame:
+    """Rows doc_id, start, end, n_words, keep_doc_id, keep_start: each removed unit."""
+    return repeated_spans(docs, least_words, least_run).drop("row")
 
 
-def cleaned(docs: DataFrame, least_words: int = 5) -> DataFrame:
+def cleaned(docs: DataFrame, least_words: int = 5, least_run: int = 24) -> DataFrame:
     """Rows doc_id, text without the removed units, removed (array of start, end)."""
-    spans = repeated_spans(docs, least_words).groupBy(F.col("doc_id").alias("g"), F.col("row").alias("h")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    spans = repeated_spans(docs, least_words, least_run).groupBy(F.col("doc_id").alias("g"), F.col("row").alias("h")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("removed"))
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"))
     met = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("g")) & (F.col("row") == F.col("h")), "left")
     kept = F.aggregate(
