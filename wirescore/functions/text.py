@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType
 
 #: A word character, and what may stand between the digits of a phone number.
 _WORD = r"[\p{L}\p{N}_]"
@@ -39,10 +40,37 @@ def _coded(words: Column, vocabulary: Column) -> Column:
     return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
 
 
+#: What a UTF-16 unit from 0x4E00 up can number without reaching the surrogates.
+MOST_CODES = 0xD800 - 0x4E00
+
+
+@F.pandas_udf(IntegerType())
+def _long_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else _distance(a, b) for a, b in zip(reference, hypothesis)], dtype="Int32")
+
+
+def _distance(a, b) -> int:
+    """Levenshtein distance of two lists; steps along a row are a running least."""
+    codes: dict = {}
+    x, y = (np.array([codes.setdefault(w, len(codes)) for w in words], np.int64) for words in (a, b))
+    place = np.arange(len(y) + 1)
+    row = place
+    for i, code in enumerate(x, 1):
+        step = np.r_[i, np.minimum(row[1:] + 1, row[:-1] + (y != code))]
+        row = place + np.minimum.accumulate(step - place)
+    return int(row[-1])
+
+
 def word_edits(reference: Column, hypothesis: Column) -> Column:
-    """Levenshtein distance of two word lists, of at most 35,327 distinct words together."""
-    vocabulary = F.array_distinct(F.concat(reference, hypothesis))
-    return F.when(F.size(vocabulary) > 35_327, F.raise_error(F.lit("too many distinct words in a pair")).cast("int")).otherwise(F.levenshtein(_coded(reference, vocabulary), _coded(hypothesis, vocabulary)))
+    """Levenshtein distance of two word lists; with more words together than there are codes for, by a slower way."""
+
+    def coded(vocabulary: Column) -> Column:
+        return F.levenshtein(_coded(reference, vocabulary), _coded(hypothesis, vocabulary))
+
+    # A one-element array binds the vocabulary, so it is made once a row and not once a word.
+    fast = F.transform(F.array(F.array_distinct(F.concat(reference, hypothesis))), coded)[0]
+    few = F.size(reference) + F.size(hypothesis) <= MOST_CODES
+    return F.when(few, fast).otherwise(_long_edits(F.when(~few, reference), F.when(~few, hypothesis)))
 
 
 def character_edits(reference: Column, hypothesis: Column) -> Column:

@@ -51,7 +51,8 @@ def entity_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = M.adjacent_turns(table(spark, sf_dir, "conversations"))
     canon = lambda c: F.transform(T.numeric_entities(F.col(c)), lambda e: e["canonical"])
     rows = turns.select("conv_id", "turn", canon("reference").alias("r"), canon("hypothesis").alias("h"))
-    return rows.select("conv_id", "turn", F.size("r").alias("n_reference"), T.lcs_length(F.col("r"), F.col("h")).alias("n_matches"))
+    scored = rows.select("conv_id", "turn", F.size("r").alias("n_reference"), T.lcs_length(F.col("r"), F.col("h")).alias("n_matches"))
+    return scored.withColumn("accuracy", M.ratio(F.col("n_matches"), F.col("n_reference")))
 
 
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,6 +182,58 @@ _SQL = {
 }
 
 
+#: Word and list distances as recursive tables: row i of the table of distances follows from row i - 1; t is the row
+#: before the steps to the right, which a running least (or greatest) adds.
+_EDITS = """
+        {name}(k, i, r, a, b) AS (
+            SELECT k, 0, range(len(b) + 1), a, b FROM {pairs}
+            UNION ALL
+            SELECT k, i + 1, list_transform(range(len(b) + 1), lambda j: j + list_min(list_transform(range(j + 1), lambda m: t[m + 1] - m))), a, b
+            FROM (SELECT *, list_transform(range(len(b) + 1), lambda j: CASE WHEN j = 0 THEN i + 1 ELSE least(r[j + 1] + 1, r[j] + (a[i + 1] <> b[j])::INT) END) AS t FROM {name} WHERE i < len(a)))"""
+_COMMON = """
+        {name}(k, i, r, a, b) AS (
+            SELECT k, 0, list_transform(range(len(b) + 1), lambda j: 0), a, b FROM {pairs}
+            UNION ALL
+            SELECT k, i + 1, list_transform(range(len(b) + 1), lambda j: list_max(t[1:j + 1])), a, b
+            FROM (SELECT *, list_transform(range(len(b) + 1), lambda j: CASE WHEN j > 0 AND a[i + 1] = b[j] THEN r[j] + 1 ELSE r[j + 1] END) AS t FROM {name} WHERE i < len(a)))"""
+_WORDS = "list_filter(string_split({0}, ' '), lambda w: w <> '')"
+#: DuckDB counts edits in bytes; normalised text has no capitals or signs, so these stand for the other letters.
+_ASCII = "translate(replace({0}, ' ', ''), 'äöüéèêàçñáíóúôûîùïëâœæìòõãåøåý', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ[]^{{}}')"
+_TURNS = f"""turns AS (
+            SELECT conv_id, turn, role, {_NORMAL.format('prior')} AS rn, {_NORMAL.format('text')} AS hn
+            FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prior FROM conversations) WHERE prior IS NOT NULL),
+        pairs AS (SELECT (conv_id, turn) AS k, {_WORDS.format('rn')} AS a, {_WORDS.format('hn')} AS b FROM turns)"""
+_SCORED = f"""WITH RECURSIVE {_TURNS}, {_EDITS.format(name='dp', pairs='pairs')},
+        scored AS (
+            SELECT conv_id, turn, role, r[len(b) + 1] AS word_edits, len(a) AS word_units, levenshtein({_ASCII.format('rn')}, {_ASCII.format('hn')}) AS char_edits, length(replace(rn, ' ', '')) AS char_units
+            FROM turns JOIN dp ON k = (conv_id, turn) AND i = len(a))"""
+#: Without lookaround, each sign stands twice, so that it can end one match and begin the next.
+_ENTITIES = r"""regexp_extract_all(regexp_replace({0}, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g'), '(?:^|[^\p{{L}}\p{{N}}_])(\+?(?:[0-9][\s\p{{Z}}\x{{1c}}-\x{{1f}}()\-]*){{6,}}[0-9]|[0-9]+)(?:[^\p{{L}}\p{{N}}_]|$)', 1)"""
+_CANON = "list_transform({0}, lambda s: regexp_replace(s, '[^0-9+]', '', 'g'))"
+
+_SQL |= {
+    "wer_adjacent_turns": f"{_SCORED} SELECT conv_id, turn, word_edits::INT AS word_edits, word_units::INT AS word_units, round(word_edits / greatest(1, word_units), 9) AS wer FROM scored",
+    "cer_adjacent_turns": f"{_SCORED} SELECT conv_id, turn, char_edits::INT AS char_edits, char_units::INT AS char_units, round(char_edits / greatest(1, char_units), 9) AS cer FROM scored",
+    "wer_corpus_by_role": f"""{_SCORED} SELECT role, count(*) AS n_items, round(sum(word_edits) / sum(greatest(1, word_units)), 9) AS wer, round(sum(char_edits) / sum(greatest(1, char_units)), 9) AS cer
+        FROM scored GROUP BY role""",
+    "entity_extract": f"""
+        SELECT doc_id, place, canonical, CASE WHEN length(replace(canonical, '+', '')) >= 7 THEN 'phone' ELSE 'number' END AS kind
+        FROM (SELECT doc_id, unnest(c) AS canonical, generate_subscripts(c, 1) - 1 AS place FROM (SELECT doc_id, {_CANON.format(_ENTITIES.format('text'))} AS c FROM documents))""",
+    "entity_preservation": f"""WITH RECURSIVE pairs AS (
+            SELECT (conv_id, turn) AS k, {_CANON.format(_ENTITIES.format('prior'))} AS a, {_CANON.format(_ENTITIES.format('text'))} AS b
+            FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prior FROM conversations) WHERE prior IS NOT NULL), {_COMMON.format(name='dp', pairs='pairs')}
+        SELECT c.conv_id, c.turn, len(a)::INT AS n_reference, r[len(b) + 1]::INT AS n_matches, r[len(b) + 1] / nullif(len(a), 0) AS accuracy
+        FROM dp JOIN conversations c ON k = (c.conv_id, c.turn) WHERE i = len(a)""",
+    "partial_stability": f"""WITH RECURSIVE said AS (
+            SELECT conv_id, turn, turn = max(turn) OVER (PARTITION BY conv_id) AS is_final, {_NORMAL.format('text')} AS n FROM conversations),
+        spoken AS (SELECT *, lag(n) OVER (PARTITION BY conv_id ORDER BY is_final, turn) AS before FROM said WHERE is_final OR n <> ''),
+        states AS (SELECT conv_id, turn, n, lag(n) OVER (PARTITION BY conv_id ORDER BY is_final, turn) AS before FROM spoken WHERE is_final OR before IS NULL OR before <> n),
+        pairs AS (SELECT (conv_id, turn) AS k, {_WORDS.format('before')} AS a, {_WORDS.format('n')} AS b FROM states WHERE before IS NOT NULL), {_EDITS.format(name='dp', pairs='pairs')},
+        near AS (SELECT k, 1 - r[len(b) + 1] / greatest(len(a), len(b), 1) AS near FROM dp WHERE i = len(a))
+        SELECT conv_id, round(avg(near), 9) AS stability FROM states LEFT JOIN near ON k = (conv_id, turn) GROUP BY conv_id""",
+}
+
+
 def queries() -> dict:
     return {
         f.__name__: f
