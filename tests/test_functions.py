@@ -8,32 +8,52 @@ from wirescore.operators import metrics as M
 
 
 def test_normalised():
-    assert T.normalised("  Привет, МИР!  Hello—WORLD. Номер １２３ ₽  ") == "привет мир hello world номер 123"
+    assert T.normalised("\tGröße: ＡＢ-12,  «Да»… x²  ") == "grösse ab 12 да x2"
 
 
-@pytest.mark.parametrize(("r", "h", "edits", "units"), [("one two three four", "one two five four", 1, 4), ("", "", 0, 0), ("", "one two", 2, 0), ("one two", "", 2, 2), ("слово", "раз два три", 3, 1)])
+@pytest.mark.parametrize(("r", "h", "edits", "units"), [("der Hund schläft heute", "der Hund, schlief heute", 1, 4), ("", "", 0, 0), ("", "so ein Ding", 3, 0), ("nichts da", "", 2, 2), ("alpha", "beta gamma", 2, 1), ("a b c d e", "b c e d", 3, 5)])
 def test_word_edits(spark, r, h, edits, units):
     row = M.scored(spark.createDataFrame([(r, h)], "reference string, hypothesis string")).first()
     assert (row["word_edits"], row["word_units"]) == (edits, units)
 
 
 def test_character_edits(spark):
-    row = M.scored(spark.createDataFrame([("A b!", "acb")], "reference string, hypothesis string")).first()
-    assert (row["char_edits"], row["char_units"]) == (1, 2)
+    row = M.scored(spark.createDataFrame([("N. i-l", "nul")], "reference string, hypothesis string")).first()
+    assert (row["char_edits"], row["char_units"]) == (1, 3)
+
+
+def test_edits_of_long_pairs(spark):
+    """Beyond the codes that one character has for words, and below, against one plain table of distances."""
+    import random
+
+    rng = random.Random(4)
+    rows = [([str(rng.randrange(9)) for _ in range(rng.randrange(12))], [str(rng.randrange(9)) for _ in range(rng.randrange(12))]) for _ in range(60)]
+    for a, b in rows:
+        table = [list(range(len(b) + 1))]
+        for i, x in enumerate(a, 1):
+            table.append([i])
+            for j, y in enumerate(b, 1):
+                table[i].append(min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + (x != y)))
+        assert T._distance(a, b) == table[-1][-1]
+    long = [str(i) for i in range(18_000)]
+    other = ["x", *long[:9000], "y", *long[9002:]]
+    df = spark.createDataFrame([(long, other), (["p"], ["q"]), (None, ["q"])], "a array<string>, b array<string>")
+    assert [r[0] for r in df.select(T.word_edits(F.col("a"), F.col("b"))).collect()] == [3, 1, None]
 
 
 def test_entities(spark):
-    df = spark.createDataFrame([("мой номер +7 (916) 123-45-67, код 0042",)], "t string")
+    df = spark.createDataFrame([("call 8 (495) 555-00-11 or box 007, a1b 12c 9",)], "t string")
     found = df.select(T.numeric_entities(F.col("t")).alias("e")).first()["e"]
-    assert [(e["kind"], e["canonical"]) for e in found] == [("phone", "+79161234567"), ("number", "0042")]
+    assert [(e["kind"], e["canonical"]) for e in found] == [("phone", "84955550011"), ("number", "007"), ("number", "9")]
 
 
-@pytest.mark.parametrize(("a", "b", "n"), [(["1", "2"], ["9", "1", "2"], 2), (["1", "2"], ["2", "1"], 1), ([], ["1"], 0), (["1"], [], 0)])
+@pytest.mark.parametrize(("a", "b", "n"), [(["5", "7", "7"], ["7", "5", "7"], 2), (["a", "b", "c", "d"], ["b", "x", "d"], 2), (["3"], ["4"], 0), ([], ["8"], 0), (["8"], [], 0)])
 def test_lcs(spark, a, b, n):
     df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
     assert df.select(T.lcs_length(F.col("a"), F.col("b"))).first()[0] == n
 
 
+#: Fixed values of G.711: code words at the corners of both laws.
 def test_mu_law_vectors(spark):
     pcm = [-32768, -32124, -1000, -1, 0, 1, 1000, 32124, 32767]
     df = spark.createDataFrame([([p / 32768 for p in pcm],)], "s array<float>")
@@ -44,8 +64,8 @@ def test_mu_law_vectors(spark):
 
 
 def test_gain_and_clip(spark):
-    df = spark.createDataFrame([([0.25, -0.25, 0.75, -0.75],)], "s array<float>")
-    assert np.allclose(df.select(S.gain_and_clip(F.col("s"), 6.0206, 0.8)).first()[0], [0.5, -0.5, 0.8, -0.8], atol=1e-5)
+    df = spark.createDataFrame([([0.2, -0.1, 0.9, -0.9],)], "s array<float>")
+    assert np.allclose(df.select(S.gain_and_clip(F.col("s"), 20.0, 1.5)).first()[0], [1.5, -1.0, 1.5, -1.5], atol=1e-5)
 
 
 def test_frames(spark):
@@ -54,10 +74,12 @@ def test_frames(spark):
 
 
 def test_loss_is_seeded():
-    payload = bytes(range(32))
-    out = S.lost(payload, "pcmu", 0.5, 1, 0)
-    assert out[:8] == payload[:8] and out[8:] == b"\xff" * 24
-    assert S.lost(b"x" * 19, "pcma", 1.0, 1) == b"\xd5" * 19
+    payload = bytes(range(44))
+    out, gone = S.lost(payload, "pcmu", 0.4, 2, 3), np.random.default_rng(3).random(3) < 0.4
+    assert [out[i : i + 16] == payload[i : i + 16] for i in (0, 16, 32)] == (~gone).tolist() and set(out[i] for i in range(44) if gone[i // 16]) <= {255}
+    assert S.lost(b"ab" * 15, "pcma", 1.0, 1) == b"\xd5" * 30
+    out, gone = S.late(payload, "pcma", 8.0, 2.0, 2, 6), np.random.default_rng(6).normal(0, 8.0, 3) > 2.0
+    assert out == b"".join(b"\xd5" * len(payload[i : i + 16]) if g else payload[i : i + 16] for i, g in zip((0, 16, 32), gone))
 
 
 def test_noise_hits_the_ratio():

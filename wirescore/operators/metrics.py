@@ -43,6 +43,6 @@ def adjacent_turns(conversations: DataFrame) -> DataFrame:
 
 
 def trace(events: DataFrame, item: str, order: list[str]) -> DataFrame:
-    """events with their place in the item's trace, the running value, and whether time went back."""
+    """events with their place in the item's trace and the running value. Clocks are checked in streaming.traces."""
     w = W.partitionBy(item).orderBy(*order)
     return events.withColumn("seq", F.row_number().over(w) - 1).withColumn("running", F.sum("value").over(w.rowsBetween(W.unboundedPreceding, 0)))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import channel
 from ..functions import signal as S
 from ..functions import text as T
 from ..operators import metrics as M
 from ..operators import summaries
 from ..operators.fingerprint import item_bytes
+from ..streaming import traces
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -145,6 +148,70 @@ def channel_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("vec_id", F.hex("payload").alias("payload"))
 
 
+def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of each user as a trace: event types stand for kinds, the value for seconds of audio, props for text."""
+    kinds = F.create_map(*[F.lit(x) for pair in (("signup", "start"), ("view", "frame"), ("error", "end"), ("click", "update"), ("purchase", "update")) for x in pair])
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("item"), seq.cast("bigint").alias("seq"), kinds[F.col("event_type")].alias("kind"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"),
+        F.col("value").alias("audio_seconds"), F.col("props").alias("text"), (F.col("event_type") == "purchase").alias("is_final"),
+    )
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.round(c, 5).alias(c) if kind == "double" else F.col(c) for c, kind in rows.dtypes])
+
+
+def stream_file_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(traces.item_metrics(_traces(spark, sf_dir)))
+
+
+def stream_paced_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(traces.item_metrics(_traces(spark, sf_dir).withColumn("kind", F.when(F.col("kind") == "end", "input_end").otherwise(F.col("kind"))), paced=True))
+
+
+def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(traces.summary(traces.item_metrics(_traces(spark, sf_dir))))
+
+
+def stream_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(traces.observed_updates(_traces(spark, sf_dir)).select("item", "seq", "is_final", "observed_seconds"))
+
+
+def stream_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In order of event_id the clock goes back; every fourth user has no other breach than its own."""
+    rows = _traces(spark, sf_dir).withColumn("t", F.when(F.col("item") % 4 == 1, -F.col("t")).otherwise(F.col("t")))
+    return traces.violations(rows, paced=True)
+
+
+def cumulative_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("delta"))
+    return traces.cumulative_text(rows, "conv_id", "turn").select("conv_id", "turn", F.sha2("text", 256).alias("digest"))
+
+
+def batch_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of a batch run, of adjacent turns: a tenth of a second of audio and a hundredth of a second of work a letter."""
+    turns = M.adjacent_turns(table(spark, sf_dir, "conversations"))
+    n = F.char_length("hypothesis").cast("double")
+    canon = lambda c: F.transform(T.numeric_entities(F.col(c)), lambda e: e["canonical"])
+    rows = M.scored(turns.withColumn("audio_seconds", n / 10).withColumn("adapter_seconds", n / 100))
+    rows = rows.withColumn("r", canon("reference")).withColumn("entity_matches", T.lcs_length(F.col("r"), canon("hypothesis"))).withColumn("entity_count", F.size("r"))
+    made = summaries.batch_summary(rows, "role")
+    return made.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in made.dtypes])
+
+
+def channel_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gain, clipping and a mu-law trip without loss, all in one pass over the samples."""
+    chain = channel.Channel(codec="pcmu", gain_db=6.0, clip_threshold=0.25)
+
+    def run(parts):
+        for part in parts:
+            out = [(i, j, int(round(float(x) * 32768))) for i, v in zip(part["vec_id"], part["embedding"]) for j, x in enumerate(channel.through(v, 8000, int(i), chain)[0])]
+            yield pd.DataFrame(out, columns=["vec_id", "i", "pcm"])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id bigint, i bigint, pcm bigint")
+
+
 _NORMAL = r"trim(regexp_replace(replace(lower({0}),'ß','ss'),'[\p{{P}}\p{{S}}\s]+',' ','g'))"
 
 _SQL = {
@@ -233,6 +300,52 @@ _SQL |= {
         SELECT conv_id, round(avg(near), 9) AS stability FROM states LEFT JOIN near ON k = (conv_id, turn) GROUP BY conv_id""",
 }
 
+_TRACES = """tr AS (
+            SELECT user_id AS item, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, epoch_us(ts) / 1e6 AS t, value AS audio_seconds, props AS text, event_type = 'purchase' AS is_final,
+                   CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'frame' WHEN 'error' THEN 'end' ELSE 'update' END AS kind
+            FROM events),
+        su AS (SELECT *, sum(CASE WHEN kind = 'frame' THEN audio_seconds END) OVER (PARTITION BY item ORDER BY seq) AS submitted, kind = 'update' AND NOT is_final AND trim(text) <> '' AS spoken FROM tr),
+        it AS (
+            SELECT item, count(*) FILTER (kind = 'frame') AS frame_count, coalesce(sum(audio_seconds) FILTER (kind = 'frame'), 0) AS audio_seconds, arg_min(text, seq) FILTER (kind = 'update' AND is_final) AS final_text,
+                   count(*) FILTER (kind = 'update' AND NOT is_final) AS partial_update_count, arg_min(t, seq) FILTER (spoken) AS first_t, arg_min_null(submitted, seq) FILTER (spoken) AS first_s,
+                   min(t) FILTER (kind = 'start') AS s, min(t) FILTER (kind = 'frame') AS f, max(t) FILTER (kind = 'frame') AS l, min(t) FILTER (kind = 'update' AND is_final) AS d, max(t) FILTER (kind = 'end') AS e
+            FROM su GROUP BY item),
+        fi AS (SELECT item, frame_count, round(audio_seconds, 5) AS audio_seconds, final_text, partial_update_count, round(first_t - s, 5) AS time_to_first_partial_seconds,
+                      round(d - l, 5) AS finalization_latency_seconds, round(e - s, 5) AS total_streaming_wall_seconds FROM it)"""
+
+_SQL |= {
+    "stream_file_items": f"WITH {_TRACES} SELECT * FROM fi",
+    "stream_paced_items": f"""WITH {_TRACES} SELECT item, frame_count, round(audio_seconds, 5) AS audio_seconds, final_text, partial_update_count, round(f - s, 5) AS session_setup_seconds,
+        round(first_t - f, 5) AS time_to_first_partial_seconds, round(first_s, 5) AS audio_submitted_seconds_at_first_partial, round(e - f, 5) AS audio_submission_wall_seconds,
+        round(d - e, 5) AS finalization_latency_seconds, NULL::DOUBLE AS total_session_wall_seconds FROM it""",
+    "stream_summary": f"""WITH {_TRACES} SELECT count(*) AS item_count, count(*) AS completed_items, 0::BIGINT AS failed_items, round(sum(audio_seconds), 5) AS total_audio_seconds,
+        quantile_disc(time_to_first_partial_seconds, 0.5) AS time_to_first_partial_p50, quantile_disc(time_to_first_partial_seconds, 0.95) AS time_to_first_partial_p95, count(time_to_first_partial_seconds) AS time_to_first_partial_count,
+        quantile_disc(finalization_latency_seconds, 0.5) AS finalization_latency_p50, quantile_disc(finalization_latency_seconds, 0.95) AS finalization_latency_p95,
+        quantile_disc(total_streaming_wall_seconds, 0.5) AS total_streaming_wall_p50, quantile_disc(total_streaming_wall_seconds, 0.95) AS total_streaming_wall_p95, max(total_streaming_wall_seconds) AS total_streaming_wall_max FROM fi""",
+    "stream_observed": f"WITH {_TRACES} SELECT item, seq, is_final, round(t - min(CASE WHEN kind = 'start' THEN t END) OVER (PARTITION BY item), 5) AS observed_seconds FROM tr QUALIFY kind = 'update'",
+    "stream_violations": f"""WITH {_TRACES}, ne AS (SELECT item, seq, kind, text, is_final, CASE WHEN item % 4 = 1 THEN -t ELSE t END AS t FROM tr),
+        w AS (SELECT *, t < lag(t) OVER (PARTITION BY item ORDER BY seq) AS back, kind = 'update' AS u, max((kind = 'update' AND is_final)::INT) OVER b AS done, max((kind = 'frame')::INT) OVER b AS began
+              FROM ne WINDOW b AS (PARTITION BY item ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        p AS (SELECT *, CASE WHEN back THEN 'clock must be monotonic' WHEN u AND coalesce(began, 0) = 0 THEN 'update before the first frame was submitted'
+                             WHEN u AND done = 1 THEN 'update after the final update' WHEN u AND text IS NULL THEN 'update text must be a string' END AS problem FROM w),
+        g AS (SELECT item, min(seq) FILTER (problem IS NOT NULL) AS seq, arg_min(problem, seq) FILTER (problem IS NOT NULL) AS problem FROM p GROUP BY item)
+        SELECT item, seq, coalesce(problem, 'input must be exhausted') AS problem FROM g""",
+    "cumulative_turns": "SELECT conv_id, turn, sha256(string_agg(text, '' ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn)) AS digest FROM conversations",
+    "batch_by_role": f"""{_SCORED}, ents AS (
+            SELECT (conv_id, turn) AS k, role, length(text) AS n, {_CANON.format(_ENTITIES.format('prior'))} AS a, {_CANON.format(_ENTITIES.format('text'))} AS b
+            FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prior FROM conversations) WHERE prior IS NOT NULL), {_COMMON.format(name='lc', pairs='ents')},
+        found AS (SELECT k, r[len(b) + 1] AS m, len(a) AS c FROM lc WHERE i = len(a))
+        SELECT s.role, count(*) AS item_count, round(sum(n / 10), 6) AS total_audio_seconds, round(sum(n / 100), 6) AS adapter_seconds, round(sum(n / 100) / sum(n / 10), 6) AS rtf, round(sum(n / 10) / sum(n / 100), 6) AS speed_factor,
+               round(sum(word_edits) / sum(greatest(1, word_units)), 6) AS wer, round(sum(char_edits) / sum(greatest(1, char_units)), 6) AS cer, round(sum(m) / nullif(sum(c), 0), 6) AS numeric_entity_accuracy
+        FROM scored s JOIN ents ON ents.k = (s.conv_id, s.turn) JOIN found ON found.k = ents.k GROUP BY s.role""",
+    "channel_chain": """
+        WITH p AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, least(greatest(unnest(embedding)::DOUBLE * power(10, 0.3), -0.25), 0.25)::FLOAT::DOUBLE AS x FROM embeddings),
+        q AS (SELECT vec_id, i, least(greatest(round_even(least(greatest(x, -1), 1) * 32768, 0), -32768), 32767)::INT AS pcm FROM p),
+        m AS (SELECT *, least(4 * abs(pcm >> 2), 32635) + 132 AS m FROM q),
+        s AS (SELECT *, (m > 255)::INT + (m > 511)::INT + (m > 1023)::INT + (m > 2047)::INT + (m > 4095)::INT + (m > 8191)::INT + (m > 16383)::INT AS s FROM m)
+        SELECT vec_id, i, (CASE WHEN pcm < 0 THEN -1 ELSE 1 END) * (((((m >> (s + 3)) & 15) * 8 + 132) << s) - 132)::BIGINT AS pcm FROM s""",
+}
+
 
 def queries() -> dict:
     return {
@@ -240,6 +353,7 @@ def queries() -> dict:
         for f in (
             normalize_text_rows, word_counts, wer_adjacent_turns, cer_adjacent_turns, wer_corpus_by_role, entity_extract, entity_preservation, latency_percentiles, nullable_metrics, ratio_metrics,
             running_total, first_event_per_user, duplicate_ids, missing_labels, gain_clip, pcm16_mu_law, pcma_round_trip, resample_half, partial_stability, load_by_type, fingerprint_items, frame_split, signal_rms, channel_noise, channel_loss,
+            stream_file_items, stream_paced_items, stream_summary, stream_observed, stream_violations, cumulative_turns, batch_by_role, channel_chain,
         )
     }
 

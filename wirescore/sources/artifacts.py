@@ -69,9 +69,10 @@ def _measure(m: Measure, section: dict) -> float | None:
         return None
     if isinstance(value, bool) or not isinstance(value, int | float) or not math.isfinite(value):
         raise ArtifactError(f"{m.name} must be a finite number")
-    for bound, outside, word in ((m.low, lambda b: value < b, "least"), (m.high, lambda b: value > b, "most")):
-        if bound is not None and outside(bound):
-            raise ArtifactError(f"{m.name} must be at {word} {bound:g}")
+    if m.low is not None and value < m.low:
+        raise ArtifactError(f"{m.name} must be at least {m.low:g}")
+    if m.high is not None and value > m.high:
+        raise ArtifactError(f"{m.name} must be at most {m.high:g}")
     if m.name == "clip_threshold" and value <= 0:
         raise ArtifactError("clip_threshold must be a positive number")
     return float(value)

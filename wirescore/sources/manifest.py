@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +36,7 @@ def _later_problem(value: dict) -> str | None:
     if not isinstance(value["reference"], str):
         return "reference must be a string"
     language = value.get("language", "en")
-    if not (isinstance(language, str) and len(language) == 2 and language.isascii() and language.isalpha() and language.islower()):
+    if not isinstance(language, str) or not re.fullmatch("[a-z]{2}", language):
         return "language must be a lowercase ISO 639-1 code"
     return None
 

@@ -1 +1 @@
-"""See the modules of this package."""
+"""Traces of streaming transcription: metrics, contract checks and summaries, stored or live."""
