@@ -10,7 +10,8 @@ known; no table is read for it. The weights depend only on the arguments of `tra
 
 Edge cases. A null or empty html gives the empty text. Unclosed and crossed tags are repaired as
 they come, text outside any element counts, and an unfinished tag or comment at the end of a page
-ends it. Character references are decoded after the split into blocks. Repeated rows are treated
+ends it. Of a deep tag path the innermost names count; pages of many thousand blocks are read in overlapping
+stretches. Character references are decoded after the split into blocks. Repeated rows are treated
 alike; other columns are not read.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,14 +33,22 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A quote is one only after an equals sign; elsewhere in a tag it is a character like others.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements whose content is no text of the page.
-SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "select", "textarea", "title"}
+SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "select", "textarea", "title"}
+#: Of these, those that end with the page if nothing else ends them, and those that can hold their like.
+ENDLESS = {"script", "style"}
+NESTING = {"template", "svg", "object"}
+#: Names of a path that count, the innermost ones.
+DEEPEST = 64
+#: Longer pages are read in stretches of so many blocks, each with so many more on either side.
+STRETCH, BESIDE = 8192, 256
 #: Elements without content.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that do not end a block.
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("math mi mn mo ms mtext mrow msup msub mfrac msqrt a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 
 PATH, WORDS, COUNTS = 96, 48, 6
 SIZE = PATH + WORDS + COUNTS
@@ -55,7 +65,8 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...]]] = []  # elements, each with the names on the path down to it
+    open_: Counter[str] = Counter()
     held: list[str] = []
     path: tuple[str, ...] = ()
     linked = at = 0
@@ -68,22 +79,25 @@ def blocks(page: str) -> list[Block]:
         held.clear()
         linked = 0
 
-    def inside() -> tuple[str, ...]:
-        return tuple(x for _, names in stack for x in names)
+    def pop() -> str:
+        name = stack.pop()[0]
+        open_[name] -= 1
+        return name
 
     end = len(page)
     while at < end:
         m = TAG.search(page, at)
         if m is None:
-            held.append(page[at:])
-            break
-        if m.start() > at:
+            m_start, m_end = end, end
+        else:
+            m_start, m_end = m.span()
+        if m_start > at:
             if not held:
-                path = inside()
-            held.append(page[at : m.start()])
-            linked += (m.start() - at) * any(n == "a" for n, _ in stack)
-        at = m.end()
-        name = (m.group(2) or "").lower()
+                path = stack[-1][1] if stack else ()
+            held.append(page[at:m_start])
+            linked += (m_start - at) * (open_["a"] > 0)
+        at = m_end
+        name = (m.group(2) or "").lower() if m else ""
         if not name:
             continue
         if name == "br":
@@ -91,27 +105,48 @@ def blocks(page: str) -> list[Block]:
         if name not in INLINE:
             close()
         if m.group(1):
-            if any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
+            if open_[name] > 0:
+                while pop() != name:
                     pass
             continue
         if name in SILENT and not m.group(3).rstrip().endswith("/"):
-            stop = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = stop.end() if stop else end
+            at = _silent_end(page, at, name)
             continue
         if name in VOID or m.group(3).rstrip().endswith("/"):
             continue
         if name not in INLINE:  # a new block-level element ends an open paragraph, item or cell of its kind
             while stack and (stack[-1][0] in INLINE or (stack[-1][0] == name and name in ("p", "li", "td", "th", "tr", "option", "dt", "dd")) or stack[-1][0] == "p"):
-                stack.pop()
+                pop()
         names = [name]
         for a, b, c in NAMES.findall(m.group(3)):
             names += ["." + x for x in re.split(r"[^a-z]+", (a or b or c).lower()) if x]
-        stack.append((name, tuple(names)))
+        stack.append((name, ((stack[-1][1] if stack else ()) + tuple(names))[-DEEPEST:]))
+        open_[name] += 1
     close()
     return out
 
 
+@lru_cache(maxsize=64)
+def _ends(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){name}\b[^>]*(?:>|\Z)", re.I)
+
+
+def _silent_end(page: str, at: int, name: str) -> int:
+    """Where the content of a silent element that begins at `at` ends. One that is never closed, or opened again
+    before it is closed, was left open by mistake and hides nothing; scripts and styles go on to the end."""
+    depth = 1
+    for m in _ends(name).finditer(page, at):
+        if m.group(1):
+            depth -= 1
+            if not depth:
+                return m.end()
+        elif name in NESTING:
+            depth += 1
+        elif name not in ENDLESS:
+            return at
+    return len(page) if name in ENDLESS else at
+
+
 # ---- features
 
 
@@ -279,7 +314,8 @@ def example_page(rng: random.Random) -> tuple[str, list[bool]]:
         if style < 0.06:  # one word, again and again
             s = " ".join([word()] * (3 * n))
         elif style < 0.12:  # a flattened table
-            s = " | ".join(word() for _ in range(n))
+            s = " | ".join(word() for _ in range(n)) + "."
+            return s[:1].upper() + s[1:] + " |" * (rng.random() < 0.5)
         else:
             s = " ".join(word() for _ in range(n))
         return s[:1].upper() + s[1:] + rng.choice([".", ".", "!", "?"])
@@ -307,18 +343,22 @@ def example_page(rng: random.Random) -> tuple[str, list[bool]]:
 
     def junk(name: str) -> None:
         if name == "menu":
-            open_, close_ = rng.choice([("<nav>", "</nav>"), ('<div class="menu">', "</div>"), ('<div id="nav">', "</div>"), ('<nav class="navbar">', "</nav>"), ('<div class="breadcrumb">', "</div>"), ('<div role="navigation">', "</div>")])
+            open_, close_ = rng.choice([("<nav>", "</nav>"), ('<div class="menu">', "</div>"), ('<div id="nav">', "</div>"), ('<nav class="navbar">', "</nav>"), ('<div class="breadcrumb">', "</div>"), ('<div role="navigation">', "</div>"), ('<div class="top-links">', "</div>"), ('<td class="left nav">', "</td>"), ('<div class="toc">', "</div>"), ('<div id="sitemap" class="navbox">', "</div>")])
             links(open_ + "<ul>", "menu", rng.randint(2, 9))
+            if rng.random() < 0.2:  # a line of links
+                out.append(rng.choice(['<p class="crumbs">', "<td>", '<div class="links">', "<p>"]))
+                put(" | ".join(f'<a href="/{i}">{phrase("menu", 1)}</a>' for i in range(rng.randint(2, 6))) + "{}", "", False)
+                out.append("</td></p></div>")
             out.append(close_)
             return
         shapes = {
             "header": [("<header>", "</header>"), ('<div class="header">', "</div>"), ('<div id="masthead">', "</div>"), ('<div class="site-header top">', "</div>"), ('<div class="banner">', "</div>")],
             "footer": [("<footer>", "</footer>"), ('<div class="footer">', "</div>"), ('<div id="footer">', "</div>"), ('<div class="copyright">', "</div>"), ('<footer class="site-footer">', "</footer>")],
-            "aside": [("<aside>", "</aside>"), ('<div class="sidebar">', "</div>"), ('<div id="sidebar">', "</div>"), ('<div class="widget related">', "</div>"), ('<aside class="sidebar">', "</aside>"), ('<div class="share social">', "</div>")],
+            "aside": [("<aside>", "</aside>"), ('<div class="sidebar">', "</div>"), ('<div id="sidebar">', "</div>"), ('<div class="widget related">', "</div>"), ('<aside class="sidebar">', "</aside>"), ('<div class="share social">', "</div>"), ('<div id="catlinks" class="catlinks">', "</div>"), ('<td class="right">', "</td>"), ('<div class="navbox">', "</div>"), ('<div class="tags">', "</div>")],
             "notice": [('<div class="cookie-banner">', "</div>"), ('<div class="notice">', "</div>"), ('<div id="cookie-consent">', "</div>"), ('<div class="newsletter popup">', "</div>"), ('<div class="alert">', "</div>"), ('<section class="notice">', "</section>")],
             "advert": [('<div class="ad">', "</div>"), ('<div class="ads">', "</div>"), ('<div class="advert">', "</div>"), ('<div id="advertisement">', "</div>"), ('<div class="sponsored promo">', "</div>"), ('<aside class="ad">', "</aside>")],
             "form": [("<form>", "</form>"), ('<form class="search">', "</form>"), ('<form id="login" action="/l">', "</form>"), ('<div class="form"><form>', "</form></div>")],
-            "comments": [('<div class="comments">', "</div>"), ('<section id="comments">', "</section>"), ('<div class="comment-list">', "</div>"), ('<section class="comments">', "</section>"), ('<ol class="comment">', "</ol>")],
+            "comments": [('<div class="comments">', "</div>"), ('<section id="comments">', "</section>"), ('<div class="comment-list">', "</div>"), ('<section class="comments">', "</section>"), ('<ol class="comment">', "</ol>"), ('<div class="comment-body">', "</div>"), ('<ul class="commentlist">', "</ul>"), ('<div id="respond" class="replies">', "</div>")],
         }[name]
         open_, close_ = rng.choice(shapes)
         out.append(open_)
@@ -341,7 +381,7 @@ def example_page(rng: random.Random) -> tuple[str, list[bool]]:
     for name, chance in (("notice", 0.25), ("header", 0.4), ("menu", 0.8), ("aside", 0.15), ("advert", 0.4)):
         if rng.random() < chance:
             bare(name) if name in ("notice", "header", "advert") and rng.random() < 0.5 else junk(name)
-    open_, close_ = rng.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ('<main><article class="post">', "</article></main>"), ('<div class="article">', "</div>"), ('<div id="content">', "</div>"), ('<div class="post-content entry">', "</div>"), ('<section class="content">', "</section>"), ("<div>", "</div>")])
+    open_, close_ = rng.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ('<main><article class="post">', "</article></main>"), ('<div class="article">', "</div>"), ('<div id="content">', "</div>"), ('<div class="post-content entry">', "</div>"), ('<section class="content">', "</section>"), ("<div>", "</div>"), ('<div class="entry-content">', "</div>"), ('<div class="mw-parser-output">', "</div>"), ('<table><tr><td class="main">', "</td></tr></table>"), ('<table class="layout"><tr><td>', "</td></tr></table>"), ('<div class="story text">', "</div>"), ('<div itemprop="articleBody">', "</div>")])
     out.append(open_)
     if rng.random() < 0.85:
         put(rng.choice(["<h1>{}</h1>", "<h1 class=\"title\">{}</h1>", "<h2>{}</h2>", "<header><h1>{}</h1></header>"]), sentence(rng.randint(1, 8)), True)
@@ -363,6 +403,12 @@ def example_page(rng: random.Random) -> tuple[str, list[bool]]:
             for _ in range(rng.randint(1, 4)):
                 put("<td>{}</td>", sentence(2), True)
             out.append("</tr></table>")
+        elif r < 0.27:  # linked items, terms, code, captions
+            shape = rng.choice(['<ul><li><a href="/y">{}</a> LATER</li></ul>', "<dl><dt>{}</dt></dl>", "<dl><dd>{}</dd></dl>", "<pre><code>{}</code></pre>", "<figure><figcaption>{}</figcaption></figure>", "<h3>{}</h3>", "<ol><li><a href='z'>{}</a></li></ol>"])
+            put(shape.replace("LATER", sentence(3)), sentence(rng.randint(2, 12)), True)
+        elif r < 0.36:  # prose full of links
+            words = prose().split()
+            put("<p>{}</p>", " ".join(f'<a href="/w">{w}</a>' if rng.random() < 0.3 else w for w in words), True)
         else:
             put(rng.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p><b>{}</b></p>", "<p><b>{}<br>", "<div>{}</div>", "<p>{} <a href=\"/\">x</a></p>"]), prose(), True)
     if rng.random() < 0.15:
@@ -376,7 +422,7 @@ def example_page(rng: random.Random) -> tuple[str, list[bool]]:
 
 
 @lru_cache(maxsize=2)
-def train(pages: int = 1200, epochs: int = 8, batch: int = 24, seed: int = 11, rate: float = 0.006) -> Labeller:
+def train(pages: int = 3000, epochs: int = 9, batch: int = 24, seed: int = 11, rate: float = 0.006) -> Labeller:
     """Fit a labeller by Adam on so many example pages."""
     rng = random.Random(seed)
     examples = []
@@ -416,15 +462,20 @@ def train(pages: int = 1200, epochs: int = 8, batch: int = 24, seed: int = 11, r
 
 def label(net: Labeller, pages: list[list[Block]], batch: int = 64) -> list[np.ndarray]:
     """The probability of each block of each page."""
-    out: list[np.ndarray] = [np.empty(0, np.float32)] * len(pages)
-    order = [i for i in sorted(range(len(pages)), key=lambda i: len(pages[i])) if pages[i]]
-    for a, b in slices([len(pages[i]) * 16 for i in order], 16 * 64 * batch):
-        part = order[a:b]
-        x, mask = _padded([features(pages[i]) for i in part])
+    parts = [(i, a) for i, page in enumerate(pages) for a in range(0, len(page), STRETCH)]
+    taken = [pages[i][max(0, a - BESIDE) : a + STRETCH + BESIDE] for i, a in parts]
+    found: list[np.ndarray] = [np.empty(0, np.float32)] * len(parts)
+    order = sorted(range(len(parts)), key=lambda n: len(taken[n]))
+    for a, b in slices([len(taken[n]) * 16 for n in order], 16 * 64 * batch):
+        x, mask = _padded([features(taken[n]) for n in order[a:b]])
         p = net.scores(x, mask)
-        for k, i in enumerate(part):
-            out[i] = p[: len(pages[i]), k]
-    return out
+        for k, n in enumerate(order[a:b]):
+            skip = min(parts[n][1], BESIDE)
+            found[n] = p[skip : min(len(taken[n]), skip + STRETCH), k]
+    out: list[list[np.ndarray]] = [[] for _ in pages]
+    for (i, _), scores in zip(parts, found):
+        out[i].append(scores)
+    return [np.concatenate(x) if x else np.empty(0, np.float32) for x in out]
 
 
 def main_texts(net: Labeller, pages: list[str | None]) -> list[str]:
