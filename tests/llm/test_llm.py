@@ -21,11 +21,14 @@ ODD = [(1, None), (2, ""), (3, "a"), (4, "a"), (None, "b"), (5, "b"), (5, "b"),
 
 
 def test_exact_groups(spark):
-    got = sorted(map(str, exact_dedup.exact_duplicates(frame(spark, ODD), bucket_rows=1).collect()))
+    cut = sorted(map(str, exact_dedup.exact_duplicates(frame(spark, ODD), bucket_rows=1).collect()))
+    got = sorted(map(str, exact_dedup.exact_duplicates(frame(spark, ODD)).collect()))
     by = defaultdict(list)
     for i, t in ODD:
         by[t or ""].append(i)
-    assert len(got) == len(ODD)
+    assert len(got) == len(ODD) and got == cut
+    kept = [r for r in exact_dedup.exact_duplicates(frame(spark, ODD).repartition(3)).collect() if r["kept"]]
+    assert len(kept) == len(by) and all(r["doc_id"] == r["keep_id"] for r in kept)
     for r in exact_dedup.exact_duplicates(frame(spark, ODD)).collect():
         g = next(g for t, g in by.items() if hashlib.sha256(t.encode()).hexdigest() == r["text_sha256"])
         assert r["group_size"] == len(g) and r["keep_id"] == max((x for x in g if x is not None), default=None)

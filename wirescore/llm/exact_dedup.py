@@ -2,16 +2,17 @@
 
 Texts are byte strings, and equality is decided by the bytes alone; no digest takes part.
 
-1. Each map task splits its own rows by successive bytes and sends one row for each distinct
-   text, with the members it stands for, so a text that a third of all rows share reaches the
-   shuffle once for each map task.
+1. Each map task splits its own rows by successive bytes, batch by batch, and writes one numbered row for
+   each distinct text, with the members it stands for. Only the text, the count and the largest
+   member go on, so a text that a third of all rows share is a few small rows from here on.
 2. The leading bytes deal the rows out. A lead that too many rows share is split further by the
    following bytes, level by level, for as long as a level splits anything: the counts are
    partially aggregated sums, and only leads over the bound go on. The number of such leads is
    bounded by rows / `bucket_rows`, and they meet the rows in an ordinary join whose strategy
    the optimizer picks by size.
-3. Each reduce task goes on splitting its rows by successive bytes until every group is a
-   single text or has ended.
+3. Each reduce task takes its leads in order and goes on splitting by successive bytes until every
+   group is a single text or has ended; it holds no more than the buckets at hand.
+4. What was found joins the members by the number of their row, so no task holds a group's members.
 
 Edge cases. A null text counts as empty. Of equal texts the row with the largest doc_id stays; a
 null doc_id ranks below every other. Rows with the same doc_id and text are separate members of
@@ -78,62 +79,75 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each distinct text of a batch, with its members."""
+    """One row for each distinct text of a batch: its number k, the text, its members, and the largest of them."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 40
     for batch in batches:
         texts, ids = _texts(batch.column("t")), batch.column("i").to_pylist()
         groups = msd_groups(texts)
+        members = [[ids[i] for i in g] for g in groups]
+        best = [max((i for i in g if i is not None), default=None) for g in members]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([texts[g[0]] for g in groups], pa.binary()), pa.array([[ids[i] for i in g] for g in groups], pa.list_(pa.int64()))], names=["t", "members"]
+            [pa.array(range(number, number + len(groups)), pa.int64()), pa.array([texts[g[0]] for g in groups], pa.binary()), pa.array(members, pa.list_(pa.int64())), pa.array(best, pa.int64())], names=["k", "t", "members", "best"]
         )
+        number += len(groups)
+
+
+#: Bytes of text that are settled together, once their buckets are complete.
+SETTLED = 4 << 20
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a bucket: the final groups, one output row for each member."""
-    texts: list[bytes] = []
-    members: list[list[int | None]] = []
+    """Rows lead, k, t, n, best in order of lead: what each row k belongs to. Only the buckets that are not yet
+    complete, or not yet many enough, are held."""
+    held: list[tuple] = []
+    size = 0
+
+    def groups(rows: list[tuple]) -> pa.RecordBatch:
+        texts, out = [r[2] for r in rows], []
+        for g in msd_groups(texts):
+            # Largest id first, then the smallest number: the row that holds the member that stays.
+            top = max(g, key=lambda i: (rows[i][4] is not None, rows[i][4] or 0, -rows[i][1]))
+            n, digest = sum(rows[i][3] for i in g), hashlib.sha256(texts[g[0]]).hexdigest()
+            out += [(rows[i][1], rows[top][4], n, rows[i][1] == rows[top][1], digest) for i in g]
+        cols = list(zip(*out))
+        return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()))], names=["k", "keep_id", "group_size", "holds", "text_sha256"])
+
     for batch in batches:
-        texts += batch.column("t").to_pylist()
-        members += batch.column("members").to_pylist()
-    out: dict[str, list] = {k: [] for k in ("doc_id", "keep_id", "group_size", "kept", "text_sha256")}
-
-    def flush() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays(
-            [pa.array(out["doc_id"], pa.int64()), pa.array(out["keep_id"], pa.int64()), pa.array(out["group_size"], pa.int64()), pa.array(out["kept"], pa.bool_()), pa.array(out["text_sha256"], pa.string())],
-            names=list(out),
-        )
-        for v in out.values():
-            v.clear()
-        return made
-
-    for g in msd_groups(texts) if texts else []:
-        ids = [i for row in g for i in members[row]]
-        keep = max((i for i in ids if i is not None), default=None)
-        digest = hashlib.sha256(texts[g[0]]).hexdigest()
-        first = ids.index(keep)
-        for n, i in enumerate(ids):
-            out["doc_id"].append(i)
-            out["keep_id"].append(keep)
-            out["group_size"].append(len(ids))
-            out["kept"].append(n == first)
-            out["text_sha256"].append(digest)
-        if len(out["doc_id"]) > 50_000:
-            yield flush()
-    if out["doc_id"]:
-        yield flush()
+        rows = list(zip(*(batch.column(c).to_pylist() for c in ("lead", "k", "t", "n", "best"))))
+        held += rows
+        size += sum(len(r[2]) for r in rows)
+        if size < SETTLED or not held:
+            continue
+        cut = len(held)
+        while cut and held[cut - 1][0] == held[-1][0]:
+            cut -= 1
+        if cut:
+            yield groups(held[:cut])
+            held = held[cut:]
+            size = sum(len(r[2]) for r in held)
+    if held:
+        yield groups(held)
 
 
 def exact_duplicates(docs: DataFrame, bucket_rows: int = 4096) -> DataFrame:
     """Rows doc_id, keep_id, group_size, kept, text_sha256: one for each row of docs."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("i"), F.col("text").cast("binary").alias("t"))
-    distinct = rows.mapInArrow(_collapse, "t binary, members array<bigint>")
-    dealt = _deal(rows, distinct, bucket_rows)
-    return dealt.mapInArrow(_settle, "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string")
-
-
-def _deal(rows: DataFrame, distinct: DataFrame, bucket_rows: int) -> DataFrame:
-    """distinct, dealt out by leading bytes, with crowded leads split by the bytes that follow."""
+    # Written once, so that the numbers of its rows hold.
+    distinct = materialise(rows.mapInArrow(_collapse, "k bigint, t binary, members array<bigint>, best bigint"))
+    dealt = _deal(distinct.select("k", "t", F.size("members").alias("n"), "best"), bucket_rows)
+    settled = dealt.mapInArrow(_settle, "k bigint, keep_id bigint, group_size bigint, holds boolean, text_sha256 string")
+    met = distinct.select("k", "members").join(settled, "k").select("*", F.posexplode("members").alias("at", "doc_id"))
+    first = F.when(F.col("keep_id").isNull(), 0).otherwise(F.array_position("members", F.col("keep_id")) - 1)
+    return met.select("doc_id", "keep_id", "group_size", (F.col("holds") & (F.col("at") == first)).alias("kept"), "text_sha256")
+
+
+def _deal(distinct: DataFrame, bucket_rows: int) -> DataFrame:
+    """distinct (k, t, n, best), dealt out by leading bytes in order of lead, with crowded leads split by the bytes that
+    follow. Copies within a map task's batch are one row here, so they make no lead crowded."""
     lead, crowded = F.substring("t", 1, WIDTHS[0]), []
-    seen = rows.select(F.coalesce("t", F.lit(b"")).alias("t"))
+    seen = distinct.select("t")
     at = WIDTHS[0]
     for width in WIDTHS[1:]:
         level = seen.where(F.octet_length("t") > at).groupBy(F.substring("t", 1, at).alias("lead")).agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows)
@@ -146,5 +160,5 @@ def _deal(rows: DataFrame, distinct: DataFrame, bucket_rows: int) -> DataFrame:
     dealt = distinct.withColumn("lead", lead)
     for (at, level), width in zip(crowded, WIDTHS[1:]):
         mark = level.select("lead", F.lit(True).alias("crowded"))
-        dealt = dealt.join(mark, "lead", "left").select("t", "members", F.when(F.col("crowded"), F.substring("t", 1, at + width)).otherwise(F.col("lead")).alias("lead"))
-    return dealt.repartition(F.col("lead")).select("t", "members")
+        dealt = dealt.join(mark, "lead", "left").withColumn("lead", F.when(F.col("crowded"), F.substring("t", 1, at + width)).otherwise(F.col("lead"))).drop("crowded")
+    return dealt.repartition(F.col("lead")).sortWithinPartitions("lead").select("lead", "k", "t", "n", "best")
