@@ -1,9 +1,9 @@
 """Token counts by a two-tier lookup on the map side.
 
-Tier one is a compact table of the lengths of frequent pre-tokens, broadcast once: the entries
-of the tokenizer's own vocabulary, which byte-pair training ordered by frequency, each encoded
-once on the driver. Its size is bounded by the vocabulary (`table_entries`), whatever the
-corpus. Tier two is a cache in each Python worker: a pre-token that misses is encoded by the
+Tier one is a compact table of the lengths of frequent pre-tokens, broadcast once: those that are
+most frequent in a bounded sample of the corpus (`sample_rows` texts, `sample_chars` characters of
+each), then entries of the tokenizer's vocabulary, `table_entries` in all, each encoded once
+on the driver. What the sample holds changes the speed alone, never a count. Tier two is a cache in each Python worker: a pre-token that misses is encoded by the
 library, once, and remembered; when the cache reaches `cache_entries` a new
 generation begins, which takes over what it meets again. No
 pre-token is ever shuffled.
@@ -42,14 +42,25 @@ def special_strings(path: str) -> list[str]:
         return [t["content"] for t in json.load(f)["added_tokens"]]
 
 
-def frequent_lengths(path: str, table_entries: int = 65_536) -> dict[str, int]:
-    """Token counts of the vocabulary's own strings, as pre-tokens, most frequent first."""
+def frequent(texts: list[str], table_entries: int) -> list[str]:
+    """The pre-tokens that some texts have more than once, most frequent first."""
+    seen: dict[str, int] = {}
+    for text in texts:
+        if not UNSAFE.search(text):
+            for word in PRE_TOKENS.findall(text):
+                seen[word] = seen.get(word, 0) + 1
+    return sorted((w for w, n in seen.items() if n > 1), key=lambda w: (-seen[w], w))[:table_entries]
+
+
+def frequent_lengths(path: str, sample: list[str] = (), table_entries: int = 65_536) -> dict[str, int]:
+    """Token counts of what is frequent in the sample, and then of the vocabulary's own strings, as pre-tokens."""
     from tokenizers import Tokenizer, decoders
 
     tokenizer = Tokenizer.from_file(path)
     vocabulary = sorted(tokenizer.get_vocab(with_added_tokens=False).items(), key=lambda x: x[1])
     read = decoders.ByteLevel()
-    words = [w for t, _ in vocabulary if not UNSAFE.search(w := read.decode([t])) and PRE_TOKENS.fullmatch(w)][:table_entries]
+    own = [w for t, _ in vocabulary if not UNSAFE.search(w := read.decode([t])) and PRE_TOKENS.fullmatch(w)]
+    words = list(dict.fromkeys([*frequent(list(sample), table_entries), *own]))[:table_entries]
     return {w: len(e.ids) for w, e in zip(words, tokenizer.encode_batch(words, add_special_tokens=False))}
 
 
@@ -136,21 +147,27 @@ class Counter:
         return out
 
 
-_WORKERS: dict[str, Counter] = {}
+#: In a worker: the counter of the last table, with its cache.
+_WORKERS: dict[tuple[str, int], Counter] = {}
 
 
-def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", cache_entries: int = 800_000, slice_bytes: int = 1 << 20) -> Column:
+def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", cache_entries: int = 800_000, slice_bytes: int = 1 << 20, sample_rows: int = 2000, sample_chars: int = 1 << 14) -> Column:
     """A struct column (n_bytes, n_tokens) for the text column of docs."""
     path = path or tokenizer_path("byte_bpe_50k.json")
     quiet_tokenizers()
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(path))
+    sample = docs.where(F.col(text).isNotNull()).select(F.substring(text, 1, sample_chars).alias("t")).limit(sample_rows).collect()
+    table = frequent_lengths(path, [r["t"] for r in sample])
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    mine = hash(frozenset(table))
 
     @F.arrow_udf(returnType=RESULT)
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         quiet_tokenizers()
-        if path not in _WORKERS:
-            _WORKERS[path] = Counter(path, shared.value, cache_entries)
-        counter = _WORKERS[path]
+        key = (path, mine)
+        if key not in _WORKERS:
+            _WORKERS.clear()
+            _WORKERS[key] = Counter(path, shared.value, cache_entries)
+        counter = _WORKERS[key]
         for batch in batches:
             texts = [t or "" for t in batch.to_pylist()]
             sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
