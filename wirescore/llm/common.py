@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -45,6 +46,13 @@ def discard(df: DataFrame | None) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that have ended: it does so once the driver's JVM has collected what
+    stood for them, which it may put off for half an hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of rows whose sizes sum to at most limit (one row at least)."""
     at = total = 0
