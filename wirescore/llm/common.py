@@ -15,13 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folders made here for local sessions, by application.
+_own: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir. Only a session on one machine, such as that of a test, gets a
+    temporary folder where that is unset: executors elsewhere could not read it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="wirescore-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="wirescore-")
+    return _own[context.applicationId]
 
 
 def materialise(df: DataFrame, compression: str = "snappy", plain: tuple[str, ...] = ()) -> DataFrame:

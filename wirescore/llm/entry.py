@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_reuse, decontaminate, exact_dedup, html_extract, language_id, line_dedup, simhash_dedup, substring_dedup, suffix_dedup, token_counts
+from . import bpe_reuse, decontaminate, exact_dedup, filter_audit, html_extract, language_id, line_dedup, simhash_dedup, substring_dedup, suffix_dedup, token_counts
 from .common import table
 
 
@@ -18,12 +18,14 @@ def queries() -> dict:
         "op8_suffix_array_dedup": lambda s, d: suffix_dedup.suffix_duplicates(table(s, d, "documents")),
         "op9_bpe_round_trip": lambda s, d: bpe_reuse.round_trip(table(s, d, "documents")),
         "op10_line_dedup": lambda s, d: line_dedup.line_duplicates(table(s, d, "documents")),
+        "op13_filter_interactions": lambda s, d: filter_audit.filter_interactions(table(s, d, "documents"), table(s, d, "labels")),
     }
 
 
 def oracle_sql() -> dict:
-    """Exact duplicates are plain SQL; the other operators are tested against brute force."""
+    """What plain SQL can say; the other operators are tested against brute force."""
     return {
+        "op13_filter_interactions": filter_audit.ORACLE_SQL,
         "op5_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
