@@ -37,11 +37,11 @@ def test_items_without_partials_and_summaries(spark):
     events = spark.createDataFrame(GOOD + quiet, EVENTS)
     items = traces.with_stability(traces.item_metrics(events), events)
     got = traces.summary(items).first()
-    assert got["item_count"] == 2 and got["time_to_first_partial_count"] == 1 and got["time_to_first_partial_p95"] == 1.0
-    assert (got["finalization_latency_p50"], got["finalization_latency_p95"], got["total_streaming_wall_max"], got["failed_items"]) == (0.5, 0.75, 2.5, 0)
+    assert got["item_count"] == 2 and got["time_to_first_partial_count"] == 1 and got["time_to_first_partial_p95_seconds"] == 1.0
+    assert (got["finalization_latency_p50_seconds"], got["finalization_latency_p95_seconds"], got["streaming_wall_max_seconds"], got["failed_items"]) == (0.5, 0.75, 2.5, 0)
     assert got["partial_stability_mean"] == 0.5 and got["partial_stability_count"] == 1
     none = traces.summary(traces.item_metrics(events.where("item > 9"))).first()
-    assert none["item_count"] == 0 and none["total_audio_seconds"] == 0.0 and none["finalization_latency_p50"] is None
+    assert none["item_count"] == 0 and none["total_audio_seconds"] == 0.0 and none["finalization_latency_p50_seconds"] is None
 
 
 @pytest.mark.parametrize(
@@ -56,6 +56,8 @@ def test_items_without_partials_and_summaries(spark):
         ((("start", 0.0), ("update", 2.0, "a", True)), False, None, traces.NO_FRAME),
         ((("start", 0.0), ("frame", 2.0, 1.0)), False, None, traces.NO_FINAL),
         ((("start", 0.0), ("frame", 2.0, 1.0), ("update", 3.0, "a", True)), True, None, traces.INPUT_OPEN),
+        ((("start", 0.0), ("frame", 2.0, 1.0), ("update", 3.0, "a", True), ("frame", 4.0, 1.0)), False, None, traces.NEGATIVE),
+        ((("start", 0.0), ("frame", 2.0, 1.0), ("update", 3.0, "a", True), ("input_end", 4.0)), True, None, traces.NEGATIVE),
     ],
 )
 def test_first_breach(spark, events, paced, seq, problem):

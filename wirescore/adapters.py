@@ -7,7 +7,7 @@ import importlib
 import io
 import json
 import wave
-from collections.abc import Callable, Iterable
+from collections.abc import AsyncIterable, AsyncIterator, Callable, Iterable
 from dataclasses import dataclass, field
 from typing import Protocol
 from urllib.parse import urlsplit, urlunsplit
@@ -40,6 +40,15 @@ class StreamingAdapter(Protocol):
     def stream(self, frames: Iterable[np.ndarray], sample_rate: int, language: str | None) -> Iterable[tuple[str, bool]]: ...
 
 
+class PacedAdapter(Protocol):
+    """Takes frames as they come and gives updates when it has them: the two go on side by side."""
+
+    name: str
+    model: str
+
+    def stream_duplex(self, frames: AsyncIterable[np.ndarray], sample_rate: int, language: str | None) -> AsyncIterator[tuple[str, bool]]: ...
+
+
 @dataclass
 class LengthAdapter:
     """Needs no model: says how long the audio is, in hundredths of a second. For tests and dry runs."""
@@ -60,6 +69,13 @@ class LengthAdapter:
             yield "audio", False
         yield f"audio of {round(100 * n / sample_rate)}", True
 
+    async def stream_duplex(self, frames: AsyncIterable[np.ndarray], sample_rate: int, language: str | None) -> AsyncIterator[tuple[str, bool]]:
+        n = 0
+        async for frame in frames:
+            n += len(frame)
+            yield "audio", False
+        yield f"audio of {round(100 * n / sample_rate)}", True
+
 
 def load_factory(name: str) -> Callable[[], Adapter]:
     """The factory named by `module:attribute`."""

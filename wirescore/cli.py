@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from .adapters import AdapterError, load_factory
 from .functions.channel import CODECS, Channel, ConfigurationError, realtime_factor
 from .plans import runs
-from .sources import artifacts, writers
+from .sources import artifacts
 
 EXPECTED = (ConfigurationError, AdapterError, runs.RunError, artifacts.ArtifactError, OSError)
 
@@ -34,6 +34,13 @@ def _count(text: str) -> int:
     return value
 
 
+def _seed(text: str) -> int:
+    value = int(text)
+    if value < 0:
+        raise argparse.ArgumentTypeError(f"{text} is negative")
+    return value
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="wirescore")
     commands = top.add_subparsers(dest="command", required=True)
@@ -51,11 +58,12 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--snr-db", dest="additive_noise_snr_db", type=_number())
     run.add_argument("--jitter-std-ms", type=_number(0))
     run.add_argument("--playout-buffer-ms", type=_number(0))
-    run.add_argument("--seed", type=int, default=0)
+    run.add_argument("--seed", type=_seed, default=0)
     run.add_argument("--frame-duration-ms", type=_count, default=20)
     load.add_argument("--concurrency", type=_count, required=True)
     stream.add_argument("--frame-duration-ms", type=_count, default=20)
-    stream.add_argument("--realtime-factor", type=_number(above=0), help="paces the frames")
+    stream.add_argument("--timing-mode", choices=("file_upload", "paced"), default="file_upload")
+    stream.add_argument("--realtime-factor", type=_number(above=0), help="of paced runs; 1 if not given")
     stream.add_argument("--language-mode", choices=("manifest", "autodetect"), default="manifest")
     compare = commands.add_parser("compare", help="print a table of batch results")
     compare.add_argument("results", nargs="+")
@@ -77,8 +85,11 @@ def main(arguments: Sequence[str] | None = None) -> int:
             made = runs.run_load(spark, manifest, factory, given["concurrency"])
         else:
             factor = given["realtime_factor"]
-            made = runs.run_streaming(spark, manifest, factory, given["frame_duration_ms"], None if factor is None else realtime_factor(factor), given["language_mode"])
-        writers.write_json(made, output)
+            made = runs.run_streaming(
+                spark, manifest, factory, given["frame_duration_ms"], given["timing_mode"], None if factor is None else realtime_factor(factor), given["language_mode"]
+            )
+        with made:
+            made.write(output)
     except EXPECTED as wrong:
         print(f"error: {wrong}", file=sys.stderr)
         return 2

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,43 +33,56 @@ def tokens(normal: Column) -> Column:
     return F.filter(F.split(normal, " "), lambda x: x != "")
 
 
-def _coded(words: Column, vocabulary: Column) -> Column:
-    """A string with one character for each word: its place in the vocabulary, as UTF-16."""
-    codes = F.transform(words, lambda x: F.lpad(F.hex(F.array_position(vocabulary, x) + 0x4DFF), 4, "0"))
-    return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
+def _places(words) -> dict:
+    """For each word, an integer with a bit for each place where it stands."""
+    found: dict = {}
+    for i, word in enumerate(words):
+        found[word] = found.get(word, 0) | 1 << i
+    return found
 
 
-#: What a UTF-16 unit from 0x4E00 up can number without reaching the surrogates.
-MOST_CODES = 0xD800 - 0x4E00
+def distance(a, b) -> int:
+    """Levenshtein distance of two lists by bit vectors: a column of the table of distances is kept as the bits of where it
+    steps up and down, and one word of b moves the whole column on by a few operations on integers of len(a) bits."""
+    first = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[first:], b[first:]
+    last = next((i for i, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - last], b[: len(b) - last]
+    if not len(a) or not len(b):
+        return max(len(a), len(b))
+    places, every, bottom = _places(a), (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, total = every, 0, len(a)
+    for word in b:
+        equal = places.get(word, 0)
+        still = (((equal & up) + up) ^ up) | equal | down
+        right_up, right_down = down | ~(still | up), up & still
+        total += bool(right_up & bottom) - bool(right_down & bottom)
+        right_up, right_down = right_up << 1 | 1, right_down << 1
+        up, down = (right_down | ~(still | right_up)) & every, right_up & still & every
+    return total
 
 
-@F.pandas_udf(IntegerType())
-def _long_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else _distance(a, b) for a, b in zip(reference, hypothesis)], dtype="Int32")
+def common_length(a, b) -> int:
+    """Length of the longest common subsequence of two lists by a bit vector: a zero is a place of a where the length grows."""
+    places, every = _places(a), (1 << len(a)) - 1
+    state = every
+    for word in b:
+        met = state & places.get(word, 0)
+        state = (state + met | state - met) & every
+    return len(a) - state.bit_count()
 
 
-def _distance(a, b) -> int:
-    """Levenshtein distance of two lists; steps along a row are a running least."""
-    codes: dict = {}
-    x, y = (np.array([codes.setdefault(w, len(codes)) for w in words], np.int64) for words in (a, b))
-    place = np.arange(len(y) + 1)
-    row = place
-    for i, code in enumerate(x, 1):
-        step = np.r_[i, np.minimum(row[1:] + 1, row[:-1] + (y != code))]
-        row = place + np.minimum.accumulate(step - place)
-    return int(row[-1])
+def _of_pairs(function):
+    """A column of a function of two arrays, many pairs at a time; null where one of them is."""
 
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else function(a.tolist(), b.tolist()) for a, b in zip(left, right)], dtype="Int32")
 
-def word_edits(reference: Column, hypothesis: Column) -> Column:
-    """Levenshtein distance of two word lists; with more words together than there are codes for, by a slower way."""
+    return F.pandas_udf(run, IntegerType())
 
-    def coded(vocabulary: Column) -> Column:
-        return F.levenshtein(_coded(reference, vocabulary), _coded(hypothesis, vocabulary))
 
-    # A one-element array binds the vocabulary, so it is made once a row and not once a word.
-    fast = F.transform(F.array(F.array_distinct(F.concat(reference, hypothesis))), coded)[0]
-    few = F.size(reference) + F.size(hypothesis) <= MOST_CODES
-    return F.when(few, fast).otherwise(_long_edits(F.when(~few, reference), F.when(~few, hypothesis)))
+#: Levenshtein distance of two word lists.
+word_edits = _of_pairs(distance)
 
 
 def character_edits(reference: Column, hypothesis: Column) -> Column:
@@ -94,15 +106,5 @@ def numeric_entities(text: Column) -> Column:
     return F.transform(found, entity)
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays."""
-    start = F.array_repeat(F.lit(0), F.size(b) + 1)
-
-    def row(before: Column, x: Column) -> Column:
-        def cell(acc: Column, y: Column) -> Column:
-            value = F.when(x == y, F.element_at(before, acc["j"] + 1) + 1).otherwise(F.greatest(F.element_at(before, acc["j"] + 2), F.element_at(acc["c"], -1)))
-            return F.struct(F.concat(acc["c"], F.array(value)).alias("c"), (acc["j"] + 1).alias("j"))
-
-        return F.aggregate(b, F.struct(F.array(F.lit(0)).alias("c"), F.lit(0).alias("j")), cell)["c"]
-
-    return F.element_at(F.aggregate(a, start, row), -1)
+#: Length of the longest common subsequence of two arrays.
+lcs_length = _of_pairs(common_length)

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .metrics import micro_average, nearest_rank, ratio
+from .metrics import micro_average, ratio
+from .selection import join_groups, nearest_ranks
 
 
 def batch_summary(items: DataFrame, *by: str) -> DataFrame:
@@ -27,17 +28,18 @@ def batch_summary(items: DataFrame, *by: str) -> DataFrame:
 
 
 def load_summary(items: DataFrame, wall_seconds: float, *by: str) -> DataFrame:
-    """items (audio_seconds, latency_seconds): the summary of a concurrent run of that length."""
+    """items (audio_seconds, latency_seconds): the summary of a concurrent run of that length. The ranks are selected level
+    by level, so items should be a stored table."""
     audio = F.coalesce(F.sum("audio_seconds"), F.lit(0.0))
-    return items.groupBy(*by).agg(
+    made = items.groupBy(*by).agg(
         F.count("*").alias("item_count"),
         audio.alias("total_audio_seconds"),
         F.lit(wall_seconds).alias("wall_seconds"),
         ratio(audio, F.lit(wall_seconds)).alias("audio_throughput"),
-        nearest_rank("latency_seconds", 50).alias("latency_p50"),
-        nearest_rank("latency_seconds", 95).alias("latency_p95"),
         F.max("latency_seconds").alias("latency_max"),
     )
+    ranks = nearest_ranks(items, list(by), ["latency_seconds"]).withColumnsRenamed({f"latency_seconds_p{p}": f"latency_p{p}" for p in (50, 95)})
+    return join_groups(made, ranks, by)
 
 
 def partial_stability(updates: DataFrame, item: str = "item", seq: str = "seq") -> DataFrame:

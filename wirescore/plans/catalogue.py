@@ -12,6 +12,8 @@ from ..functions import text as T
 from ..operators import metrics as M
 from ..operators import summaries
 from ..operators.fingerprint import item_bytes
+from ..operators.selection import join_groups, nearest_ranks
+from ..sources.shared import written
 from ..streaming import traces
 
 
@@ -59,8 +61,10 @@ def entity_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").groupBy("event_type")
-    return rows.agg(F.count("value").alias("n"), M.nearest_rank("value", 50).alias("p50"), M.nearest_rank("value", 95).alias("p95"), F.max("value").alias("most"))
+    events = table(spark, sf_dir, "events").select("event_type", "value")
+    rows = events.groupBy("event_type").agg(F.count("value").alias("n"), F.max("value").alias("most"))
+    ranks = nearest_ranks(events, ["event_type"], ["value"]).withColumnsRenamed({"value_p50": "p50", "value_p95": "p95"})
+    return join_groups(rows, ranks, ["event_type"]).select("event_type", "n", "p50", "p95", "most")
 
 
 def nullable_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,11 +171,29 @@ def stream_file_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_paced_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(traces.item_metrics(_traces(spark, sf_dir).withColumn("kind", F.when(F.col("kind") == "end", "input_end").otherwise(F.col("kind"))), paced=True))
+    return _rounded(traces.item_metrics(_paced_traces(spark, sf_dir), paced=True))
 
 
 def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(traces.summary(traces.item_metrics(_traces(spark, sf_dir))))
+    return _rounded(traces.summary(written(traces.item_metrics(_traces(spark, sf_dir)))))
+
+
+def _paced_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, of paced runs: what ended a session ends its input."""
+    return _traces(spark, sf_dir).withColumn("kind", F.when(F.col("kind") == "end", "input_end").otherwise(F.col("kind")))
+
+
+def stream_paced_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For even and odd users."""
+    items = written(traces.item_metrics(_paced_traces(spark, sf_dir), paced=True).withColumn("odd", F.col("item") % 2))
+    return _rounded(traces.summary(items, True, "odd"))
+
+
+def stream_update_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The updates of each user as a result has them, as one digest: text, is_final and when, in microseconds."""
+    rows = traces.update_lists(_traces(spark, sf_dir))
+    said = F.transform("updates", lambda u: F.concat_ws("|", u["text"], u["is_final"].cast("string"), F.coalesce(F.round(u["observed_seconds"] * 1e6).cast("bigint").cast("string"), F.lit("-"))))
+    return rows.select("item", F.size("updates").cast("bigint").alias("n"), F.sha2(F.array_join(said, ";"), 256).alias("digest"))
 
 
 def stream_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,9 +341,20 @@ _SQL |= {
         round(first_t - f, 5) AS time_to_first_partial_seconds, round(first_s, 5) AS audio_submitted_seconds_at_first_partial, round(e - f, 5) AS audio_submission_wall_seconds,
         round(d - e, 5) AS finalization_latency_seconds, NULL::DOUBLE AS total_session_wall_seconds FROM it""",
     "stream_summary": f"""WITH {_TRACES} SELECT count(*) AS item_count, count(*) AS completed_items, 0::BIGINT AS failed_items, round(sum(audio_seconds), 5) AS total_audio_seconds,
-        quantile_disc(time_to_first_partial_seconds, 0.5) AS time_to_first_partial_p50, quantile_disc(time_to_first_partial_seconds, 0.95) AS time_to_first_partial_p95, count(time_to_first_partial_seconds) AS time_to_first_partial_count,
-        quantile_disc(finalization_latency_seconds, 0.5) AS finalization_latency_p50, quantile_disc(finalization_latency_seconds, 0.95) AS finalization_latency_p95,
-        quantile_disc(total_streaming_wall_seconds, 0.5) AS total_streaming_wall_p50, quantile_disc(total_streaming_wall_seconds, 0.95) AS total_streaming_wall_p95, max(total_streaming_wall_seconds) AS total_streaming_wall_max FROM fi""",
+        count(time_to_first_partial_seconds) AS time_to_first_partial_count, quantile_disc(time_to_first_partial_seconds, 0.5) AS time_to_first_partial_p50_seconds,
+        quantile_disc(time_to_first_partial_seconds, 0.95) AS time_to_first_partial_p95_seconds,
+        quantile_disc(finalization_latency_seconds, 0.5) AS finalization_latency_p50_seconds, quantile_disc(finalization_latency_seconds, 0.95) AS finalization_latency_p95_seconds, max(finalization_latency_seconds) AS finalization_latency_max_seconds,
+        quantile_disc(total_streaming_wall_seconds, 0.5) AS streaming_wall_p50_seconds, quantile_disc(total_streaming_wall_seconds, 0.95) AS streaming_wall_p95_seconds, max(total_streaming_wall_seconds) AS streaming_wall_max_seconds FROM fi""",
+    "stream_paced_summary": f"""WITH {_TRACES}, pa AS (SELECT item % 2 AS odd, audio_seconds, f - s AS a, first_t - f AS b, first_s AS c, e - f AS d, d - e AS g FROM it)
+        SELECT odd, count(*) AS item_count, count(*) AS completed_items, 0::BIGINT AS failed_items, round(sum(audio_seconds), 5) AS total_audio_seconds,
+        count(b) AS time_to_first_partial_count, round(quantile_disc(b, 0.5), 5) AS time_to_first_partial_p50_seconds, round(quantile_disc(b, 0.95), 5) AS time_to_first_partial_p95_seconds,
+        count(c) AS audio_submitted_at_first_partial_count, round(quantile_disc(c, 0.5), 5) AS audio_submitted_at_first_partial_p50_seconds, round(quantile_disc(c, 0.95), 5) AS audio_submitted_at_first_partial_p95_seconds,
+        round(quantile_disc(a, 0.5), 5) AS session_setup_p50_seconds, round(quantile_disc(a, 0.95), 5) AS session_setup_p95_seconds, round(max(a), 5) AS session_setup_max_seconds,
+        round(quantile_disc(d, 0.5), 5) AS audio_submission_wall_p50_seconds, round(quantile_disc(d, 0.95), 5) AS audio_submission_wall_p95_seconds, round(max(d), 5) AS audio_submission_wall_max_seconds,
+        round(quantile_disc(g, 0.5), 5) AS finalization_latency_p50_seconds, round(quantile_disc(g, 0.95), 5) AS finalization_latency_p95_seconds, round(max(g), 5) AS finalization_latency_max_seconds,
+        NULL::DOUBLE AS total_session_wall_p50_seconds, NULL::DOUBLE AS total_session_wall_p95_seconds, NULL::DOUBLE AS total_session_wall_max_seconds FROM pa GROUP BY odd""",
+    "stream_update_lists": f"""WITH {_TRACES}, ob AS (SELECT item, seq, text, is_final, t - min(CASE WHEN kind = 'start' THEN t END) OVER (PARTITION BY item) AS o FROM tr QUALIFY kind = 'update')
+        SELECT item, count(*) AS n, sha256(string_agg(concat_ws('|', text, is_final::VARCHAR, coalesce(round(o * 1000000)::BIGINT::VARCHAR, '-')), ';' ORDER BY seq)) AS digest FROM ob GROUP BY item""",
     "stream_observed": f"WITH {_TRACES} SELECT item, seq, is_final, round(t - min(CASE WHEN kind = 'start' THEN t END) OVER (PARTITION BY item), 5) AS observed_seconds FROM tr QUALIFY kind = 'update'",
     "stream_violations": f"""WITH {_TRACES}, ne AS (SELECT item, seq, kind, text, is_final, CASE WHEN item % 4 = 1 THEN -t ELSE t END AS t FROM tr),
         w AS (SELECT *, t < lag(t) OVER (PARTITION BY item ORDER BY seq) AS back, kind = 'update' AS u, max((kind = 'update' AND is_final)::INT) OVER b AS done, max((kind = 'frame')::INT) OVER b AS began
@@ -353,7 +386,7 @@ def queries() -> dict:
         for f in (
             normalize_text_rows, word_counts, wer_adjacent_turns, cer_adjacent_turns, wer_corpus_by_role, entity_extract, entity_preservation, latency_percentiles, nullable_metrics, ratio_metrics,
             running_total, first_event_per_user, duplicate_ids, missing_labels, gain_clip, pcm16_mu_law, pcma_round_trip, resample_half, partial_stability, load_by_type, fingerprint_items, frame_split, signal_rms, channel_noise, channel_loss,
-            stream_file_items, stream_paced_items, stream_summary, stream_observed, stream_violations, cumulative_turns, batch_by_role, channel_chain,
+            stream_file_items, stream_paced_items, stream_summary, stream_paced_summary, stream_update_lists, stream_observed, stream_violations, cumulative_turns, batch_by_role, channel_chain,
         )
     }
 

@@ -1,107 +1,60 @@
-"""Runs as plans: manifest, audio, channel, adapter, scores, summary and result file.
+"""Runs as plans: manifest, audio, channel, adapter, scores, summary and result document.
 
-An adapter is called once for each item, in the tasks, so what it returns is written (or persisted) before anything
-is computed from it; a retried task would call it again.
+An adapter is called once for each item, in the tasks, and what it returns is written before anything is computed from
+it. A run is a Document: its head has a bounded number of fields, its items are a frame that goes to the file from the tasks.
 """
 
 from __future__ import annotations
 
+import asyncio
 import os
-import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import asdict
-from functools import wraps
 
-import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
-from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..adapters import Adapter, AdapterError
+from ..adapters import Adapter
 from ..functions import text as T
-from ..functions.channel import Channel, ConfigurationError, frame_samples, through
+from ..functions.channel import Channel, ConfigurationError
 from ..operators import metrics as M
 from ..operators.fingerprint import dataset_fingerprint
 from ..operators.summaries import batch_summary, load_summary
 from ..sources import writers
+from ..sources.documents import Document
 from ..sources.manifest import numbered_lines, parse_items
-from ..sources.wav import decode_files
+from ..sources.shared import discard, filesystem, written
+from ..sources.wav import audio_of
 from ..streaming import traces
+from .sessions import RunError, duplexed, first_breach, first_failure, loaded, streamed, transcribed
 
-SAID = "item_index bigint, hypothesis string, audio_seconds double, adapter_seconds double"
-EVENTS = "item bigint, seq bigint, kind string, t double, audio_seconds double, text string, is_final boolean"
 #: The use of the digest that dataset_fingerprint() makes here.
 DOMAIN = b"wirescore dataset\0"
 
 
-class RunError(RuntimeError):
-    pass
-
-
-def _typed(run):
-    """run, whose adapters' and settings' errors come back from the tasks as what they were raised as."""
-
-    @wraps(run)
-    def outer(*args, **options):
-        try:
-            return run(*args, **options)
-        except PythonException as wrong:
-            for kind in (AdapterError, ConfigurationError):
-                if found := re.findall(rf"{kind.__name__}: (.*)", str(wrong)):
-                    raise kind(found[-1].strip()) from wrong
-            raise
-
-    return outer
-
-
 def manifest_audio(spark: SparkSession, path: str) -> DataFrame:
     """Rows item_index, id, audio, reference, language, content, sample_rate, samples of a manifest whose audio paths are
-    relative to it; an error that names the first wrong line, or the first file that is no audio."""
-    path = os.path.abspath(os.path.expanduser(path))
-    if not os.path.isfile(path):
+    relative to it, written once; an error that names the first wrong line, or the first file that is no audio. Files are
+    looked for and read in the tasks, by the names that the manifest gives."""
+    if "://" not in path:
+        path = os.path.abspath(os.path.expanduser(path))
+    fs, inner = filesystem(path)
+    if not fs.get_file_info(inner).is_file:
         raise RunError(f"no such manifest: {path}")
     folder = os.path.dirname(path)
     items = parse_items(numbered_lines(spark, path))
-    whole = F.when(F.col("audio").startswith("/"), F.col("audio")).otherwise(F.concat(F.lit(folder + "/"), "audio"))
-    items = items.withColumn("path", F.concat(F.lit("file:"), whole))
-    # Listed by the names that the manifest gives, so nothing else under the folder is read.
-    names = [r["path"] for r in items.where("path is not null").select("path").distinct().collect()]
-    there = [n for n in names if os.path.isfile(n.removeprefix("file:"))]
-    if there:
-        files = spark.read.format("binaryFile").load(there).select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"), "content")
-    else:
-        files = spark.createDataFrame([], "path string, content binary")
-    decoded = decode_files(files).withColumnRenamed("problem", "wrong")
-    met = items.join(files.join(decoded, "path"), "path", "left")
-    problem = F.coalesce("problem", F.when(F.col("content").isNull(), F.concat(F.lit("audio file does not exist: "), "audio")), F.concat("audio", F.lit(": "), "wrong"))
-    met = met.withColumn("problem", problem)
-    first = met.where("problem is not null").orderBy("line_number").select("line_number", "problem").first()
+    whole = F.when(F.col("audio").startswith("/") | F.col("audio").contains("://"), F.col("audio")).otherwise(F.concat(F.lit(folder + "/"), "audio"))
+    met = written(audio_of(items.withColumn("path", F.when(F.col("problem").isNull() | F.col("audio").isNotNull(), whole))))
+    problem = F.coalesce("problem", F.when(~F.col("there"), F.concat(F.lit("audio file does not exist: "), "audio")), F.concat("audio", F.lit(": "), "wrong"))
+    first = met.select("line_number", problem.alias("problem")).where("problem is not null").agg(F.min_by(F.struct("line_number", "problem"), "line_number").alias("e")).first()["e"]
     if first:
+        discard(met)
         raise RunError(f"{path}:{first['line_number']}: {first['problem']}")
     inside = F.when(F.startswith("audio", F.lit(folder + "/")), F.substring("audio", len(folder) + 2, 1 << 20)).otherwise(F.col("audio"))
-    return met.select("item_index", "id", inside.alias("audio"), "reference", "language", "content", "sample_rate", "samples")
-
-
-def transcribed(items: DataFrame, factory: Callable[[], Adapter], channel: Channel = Channel(), clock: Callable[[], float] = time.perf_counter) -> DataFrame:
-    """items (item_index, samples, sample_rate, language): item_index, hypothesis, audio_seconds (behind the channel) and
-    adapter_seconds (the call alone). One adapter serves a task."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        adapter = None
-        for part in parts:
-            out = []
-            for row in part.itertuples():
-                adapter = adapter or factory()
-                samples, rate = through(row.samples, row.sample_rate, int(row.item_index), channel)
-                began = clock()
-                text = adapter.transcribe(samples, rate, row.language)
-                out.append((row.item_index, text, len(samples) / rate, clock() - began))
-            yield pd.DataFrame(out, columns=["item_index", "hypothesis", "audio_seconds", "adapter_seconds"])
-
-    return items.select("item_index", "samples", "sample_rate", "language").mapInPandas(run, SAID)
+    out = met.select("item_index", "id", inside.alias("audio"), "reference", "language", "content", "sample_rate", "samples")
+    out._shared_path = met._shared_path
+    return out
 
 
 def scored_items(items: DataFrame, said: DataFrame) -> DataFrame:
@@ -121,117 +74,106 @@ def scored_items(items: DataFrame, said: DataFrame) -> DataFrame:
 _ITEM = ("id", "audio", "reference", "hypothesis", "language", "audio_seconds", "adapter_seconds", "wer", "cer", "numeric_entities")
 
 
-def _about(factory: Callable[[], Adapter]) -> dict:
+#: The fields of an adapter in a result; batch results call its options by another name.
+_ADAPTER = ("name", "model", "device", "compute_type")
+
+
+def _about(factory: Callable[[], Adapter], options: str = "options") -> dict:
     made = factory()
-    return {name: getattr(made, name) for name in ("name", "model", "device", "compute_type", "decoding_options")}
+    return {name: getattr(made, name) for name in _ADAPTER} | {options: dict(made.decoding_options)}
 
 
-@_typed
-def run_batch(spark: SparkSession, manifest: str, factory: Callable[[], Adapter], channel: Channel = Channel()) -> dict:
-    """A batch run: the artifact of version 6."""
-    items = manifest_audio(spark, manifest)
+def _dataset(path: str, items: DataFrame, total: int) -> dict:
+    """The data set of a result: where, how many items, and a digest of them all."""
     fingerprint = dataset_fingerprint(items.select("item_index", "id", "reference", "language", "content"), DOMAIN)
-    said = scored_items(items, transcribed(items, factory, channel)).persist(StorageLevel.DISK_ONLY)
-    try:
-        made = said.withColumn("matches", F.col("entity_matches"))
-        summary = batch_summary(made).first().asDict()
-        counts = made.agg(F.coalesce(F.sum("entity_matches"), F.lit(0)).alias("m"), F.coalesce(F.sum("entity_count"), F.lit(0)).alias("n")).first()
-        summary |= {"numeric_entity_matches": counts["m"], "numeric_entity_reference_count": counts["n"]}
-        rows = writers.rows_of(said.select("item_index", *_ITEM), "item_index")
-    finally:
-        said.unpersist()
-    n = summary.pop("item_count")
-    path = os.path.abspath(os.path.expanduser(manifest))
-    return writers.batch_artifact({"path": path, "item_count": n, "fingerprint": fingerprint}, _about(factory), asdict(channel), summary, rows)
-
-
-@_typed
-def run_load(spark: SparkSession, manifest: str, factory: Callable[[], Adapter], concurrency: int, clock: Callable[[], float] = time.perf_counter) -> dict:
-    """Clean audio through `concurrency` tasks, each with an adapter of its own; the first failure ends the run."""
+    return {"path": path if "://" in path else os.path.abspath(os.path.expanduser(path)), "item_count": total, "fingerprint": fingerprint}
+
+
+def run_batch(spark: SparkSession, manifest: str, factory: Callable[[], Adapter], channel: Channel = Channel()) -> Document:
+    """A batch run: a result of version 6."""
+    items = manifest_audio(spark, manifest)
+    about = _about(factory, "decoding_options")
+    said = transcribed(items, factory, channel)
+    if wrong := first_failure(said):
+        raise wrong
+    made = written(scored_items(items, said).withColumn("matches", F.col("entity_matches")))
+    summary = batch_summary(made).first().asDict()
+    counts = made.agg(F.coalesce(F.sum("entity_matches"), F.lit(0)).alias("m"), F.coalesce(F.sum("entity_count"), F.lit(0)).alias("n")).first()
+    summary |= {"numeric_entity_matches": counts["m"], "numeric_entity_reference_count": counts["n"]}
+    head = writers.batch_head(_dataset(manifest, items, summary.pop("item_count")), about, asdict(channel), summary)
+    discard(items)
+    discard(said)
+    return Document(head, made.select("item_index", *_ITEM), "item_index", [made])
+
+
+def run_load(spark: SparkSession, manifest: str, factory: Callable[[], Adapter], concurrency: int, clock: Callable[[], float] = time.time) -> Document:
+    """Clean audio through `concurrency` workers, each with an adapter of its own; the first failure ends the run. The wall time
+    is from the first worker's start, with all adapters made, to the last one's end."""
     if isinstance(concurrency, bool) or not isinstance(concurrency, int) or concurrency <= 0:
         raise ConfigurationError("concurrency must be a positive integer")
-    items = manifest_audio(spark, manifest).persist(StorageLevel.DISK_ONLY)
+    items = manifest_audio(spark, manifest)
     total = items.count()
     if not total:
         raise RunError("a load run needs at least one item")
-    began = clock()
-    # One item to one task in turn, so no task has two more than another.
-    spread = items.repartitionByRange(concurrency, F.pmod("item_index", F.lit(concurrency)))
-    said = transcribed(spread, factory).withColumnRenamed("adapter_seconds", "latency_seconds").persist(StorageLevel.DISK_ONLY)
-    done = said.count()
-    wall = clock() - began
-    try:
-        row = load_summary(said, wall).first().asDict()
-        found = items.select("item_index", "id", "audio").join(said, "item_index").select("item_index", "id", "audio", "audio_seconds", "latency_seconds", "hypothesis")
-        rows = writers.rows_of(found, "item_index")
-    finally:
-        said.unpersist()
-        items.unpersist()
-    if done != total:
+    about = _about(factory)
+    said = loaded(items, factory, concurrency, total, clock)
+    if wrong := first_failure(said):
+        raise wrong
+    span = said.where("item_index is null").agg(F.min("began").alias("a"), F.max("ended").alias("b")).first()
+    wall = span["b"] - span["a"]
+    calls = said.where("item_index is not null").withColumnRenamed("adapter_seconds", "latency_seconds")
+    made = written(items.select("item_index", "id", "audio").join(calls, "item_index").select("item_index", "id", "audio", "audio_seconds", "latency_seconds", "hypothesis"))
+    row = load_summary(made, wall).first()
+    if row["item_count"] != total:
         raise RunError("the run ended without all items")
     summary = {
-        "item_count": total, "completed_items": done, "failed_items": total - done, "total_audio_seconds": row["total_audio_seconds"], "total_wall_seconds": wall,
+        "item_count": total, "completed_items": total, "failed_items": 0, "total_audio_seconds": row["total_audio_seconds"], "total_wall_seconds": wall,
         "throughput_speed_factor": row["audio_throughput"], "latency_p50_seconds": row["latency_p50"], "latency_p95_seconds": row["latency_p95"], "latency_max_seconds": row["latency_max"],
     }
-    path = os.path.abspath(os.path.expanduser(manifest))
-    return writers.concurrent_artifact({"path": path, "item_count": total}, _about(factory), {"concurrency": concurrency}, summary, rows)
-
-
-def streamed(items: DataFrame, factory: Callable, frame_ms: int = 20, factor: float | None = None, languages: bool = True, clock=time.perf_counter, sleep=time.sleep) -> DataFrame:
-    """items (item_index, samples, sample_rate, language): the events of a streaming run of each. With a real-time factor
-    the frames are paced: after each, the task sleeps for its length over the factor."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        adapter = None
-        for part in parts:
-            for row in part.itertuples():
-                adapter = adapter or factory()
-                events: list[tuple] = []
-
-                def say(kind: str, seconds=None, text=None, final=None) -> None:
-                    events.append((row.item_index, len(events), kind, float(clock()), seconds, text, final))
-
-                samples, size = np.asarray(row.samples, np.float32), frame_samples(int(row.sample_rate), frame_ms)
-
-                def frames() -> Iterator[np.ndarray]:
-                    for at in range(0, len(samples), size):
-                        frame = samples[at : at + size]
-                        say("frame", len(frame) / row.sample_rate)
-                        yield frame
-                        if factor:
-                            sleep(len(frame) / row.sample_rate / factor)
-                    if factor:
-                        say("input_end")
-
-                say("start")
-                for text, final in adapter.stream(frames(), int(row.sample_rate), row.language if languages else None):
-                    say("update", None, text, final)
-                say("end")
-                yield pd.DataFrame(events, columns=["item", "seq", "kind", "t", "audio_seconds", "text", "is_final"])
-
-    return items.select("item_index", "samples", "sample_rate", "language").mapInPandas(run, EVENTS)
-
-
-@_typed
-def run_streaming(spark: SparkSession, manifest: str, factory: Callable, frame_ms: int = 20, factor: float | None = None, language_mode: str = "manifest", clock=time.perf_counter, sleep=time.sleep) -> dict:
-    """A streaming run over a manifest: the artifact of version 2. The first breach of the contract, by item, is an error."""
+    head = writers.concurrent_head(_dataset(manifest, items, total), about, {"concurrency": concurrency}, summary)
+    discard(items)
+    discard(said)
+    return Document(head, made, "item_index", [made])
+
+
+def run_streaming(
+    spark: SparkSession, manifest: str, factory: Callable, frame_ms: int = 20, timing_mode: str = "file_upload", factor: float | None = None, language_mode: str = "manifest",
+    version: int | None = None, sessions: int = 1, clock: Callable[[], float] = time.perf_counter, sleep: Callable = asyncio.sleep,
+) -> Document:
+    """A streaming run over a manifest, as a result of version 1 (file uploads, unless 2 is asked for) or 2 (paced, by default
+    in real time). The first failure or breach of the contract, by item, is an error. An adapter that says
+    takes_languages = False refuses a manifest with language tags before any call, unless they are to be ignored."""
+    if timing_mode not in ("file_upload", "paced"):
+        raise ConfigurationError(f"unknown timing mode: {timing_mode}")
     if language_mode not in ("manifest", "autodetect"):
         raise ConfigurationError(f"unknown language mode: {language_mode}")
+    paced = timing_mode == "paced"
+    if factor is not None and not paced:
+        raise ConfigurationError("a realtime factor is for paced runs only")
     items = manifest_audio(spark, manifest)
-    events = streamed(items, factory, frame_ms, factor, language_mode == "manifest", clock, sleep).persist(StorageLevel.DISK_ONLY)
-    paced = factor is not None
-    try:
-        due = items.select(F.col("item_index").cast("bigint").alias("item"), F.ceil(F.size("samples") / (F.col("sample_rate") * frame_ms / 1000)).cast("bigint").alias("frames"))
-        wrong = traces.violations(events, due, paced).orderBy("item").first()
-        if wrong:
-            raise RunError(f"item {wrong['item']}: {wrong['problem']}")
-        made = traces.with_stability(traces.item_metrics(events, paced), events)
-        summary = traces.summary(made, paced).first().asDict()
-        found = items.select(F.col("item_index").cast("bigint").alias("item"), "id", "audio", "language").join(made, "item")
-        rows = writers.rows_of(found, "item")
-    finally:
-        events.unpersist()
-    path = os.path.abspath(os.path.expanduser(manifest))
-    about = {name: value for name in ("name", "model") for value in [getattr(factory(), name)]}
-    how = {"timing_mode": "paced" if paced else "file_upload", "frame_duration_ms": frame_ms, "realtime_factor": factor, "language_mode": language_mode}
-    return writers.streaming_artifact({"path": path, "item_count": summary.pop("item_count")}, about, how, summary, rows)
+    total, tagged = items.agg(F.count("*"), F.count("language")).first()
+    if not total:
+        raise RunError("a streaming run needs at least one item")
+    made = factory()
+    if tagged and language_mode == "manifest" and not getattr(made, "takes_languages", True):
+        raise ConfigurationError(f"{made.name} takes no languages, and the manifest has tags; the language mode autodetect ignores them")
+    languages = language_mode == "manifest"
+    if paced:
+        factor = 1.0 if factor is None else factor
+        events = duplexed(items, factory, frame_ms, factor, languages, sessions, clock, sleep)
+    else:
+        events = streamed(items, factory, frame_ms, languages, clock)
+    due = items.select(F.col("item_index").alias("item"), F.ceil(F.size("samples") / (F.col("sample_rate") * frame_ms / 1000)).cast("bigint").alias("frames"))
+    if wrong := first_breach(events, traces.violations(events.where("kind <> 'failed'"), due, paced)):
+        raise wrong
+    metrics = written(traces.with_stability(traces.item_metrics(events, paced), events))
+    summary = traces.summary(metrics, paced).first().asDict()
+    rows = items.select(F.col("item_index").alias("item"), "id", "audio").join(metrics, "item").join(traces.update_lists(events, paced), "item", "left")
+    rows = written(rows.withColumn("updates", F.coalesce("updates", F.array().cast(rows.schema["updates"].dataType))))
+    how = {"frame_duration_ms": frame_ms} | ({"realtime_factor": factor} if paced else {}) | {"language_mode": language_mode}
+    version = version or (2 if paced else 1)
+    about = {name: getattr(made, name) for name in _ADAPTER} | {"options": dict(made.decoding_options)}
+    head = writers.streaming_head(version, timing_mode, _dataset(manifest, items, total), about, how, summary)
+    for gone in (items, events, metrics):
+        discard(gone)
+    return Document(head, rows, "item", [rows])

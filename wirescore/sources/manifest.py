@@ -14,8 +14,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 #: The fields of an item.
 REQUIRED = ("id", "audio", "reference")
 OPTIONAL = ("language",)
-#: All that ends a line in Python text, and all that is white space there.
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+#: What ends a line in Python text besides CR, LF and both.
+INNER_END = r"[\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
 
 def _problem(value: object) -> str | None:
@@ -72,12 +72,33 @@ def _blank(line: Column) -> Column:
     return ~line.rlike(r"[^\p{IsWhite_Space}\x1c-\x1f]")
 
 
+def _split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Rows block, line: the lines of each block of the file, in order. Spark cuts at CR, LF and both, also across the edges of
+    blocks; what else ends a line is cut here."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), "value")
+    return rows.select("block", F.explode(F.split("value", INNER_END)).alias("line"))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rows line_number (from 1, blank lines counted), item_index (from 0, blank lines not), line."""
-    text = spark.read.text(path, wholetext=True)
-    lines = text.select(F.posexplode(F.split("value", LINE_END)).alias("at", "line")).where(~_blank(F.col("line")))
-    # One manifest is one file, so its lines are ranked together.
-    return lines.select((F.col("at") + 1).alias("line_number"), (F.row_number().over(W.orderBy("at")) - 1).alias("item_index"), "line")
+    """Rows line_number (from 1, blank lines counted), item_index (from 0, blank lines not), line. A first pass counts the
+    lines that begin in each block of the file, sums over the blocks say where each begins, and a second pass numbers
+    within the blocks as they are read: no line is moved, and only the blocks' counts meet in one place. Where another pass cuts the
+    file elsewhere (the number of cores has changed), its blocks begin at known places or the run ends with an error."""
+    lines = _split_lines(spark, path).withColumn("at", F.monotonically_increasing_id())
+    kept = lines.where(~_blank(F.col("line"))).withColumn("nth", F.monotonically_increasing_id())
+    counts = lines.groupBy("block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    filled = kept.groupBy("block").agg(F.count("*").alias("m"), F.min("nth").alias("first_item"))
+    blocks = counts.join(filled, "block", "left").collect()
+    rows, before, items = [], 0, 0
+    for b in sorted(blocks, key=lambda b: b["block"]):
+        rows.append((b["block"], before, items))
+        before, items = before + b["n"], items + (b["m"] or 0)
+    offsets = F.broadcast(spark.createDataFrame(rows, "block bigint, before bigint, items_before bigint"))
+    # Where a partition holds several blocks, each counts from its own first line.
+    own = counts.select("block", "first").join(filled.select("block", "first_item"), "block", "left")
+    met = kept.join(F.broadcast(own), "block", "left").join(offsets, "block", "left")
+    number = F.when(F.col("before").isNull(), F.raise_error("the blocks of the manifest have changed")).otherwise(F.col("before") + F.col("at") - F.col("first") + 1)
+    return met.select(number.alias("line_number"), (F.col("items_before") + F.col("nth") - F.col("first_item")).alias("item_index"), "line")
 
 
 def parse_items(lines: DataFrame, audio_files: DataFrame | None = None) -> DataFrame:

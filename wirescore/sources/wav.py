@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import filesystem
+
 SCHEMA = "path string, sample_rate int, samples array<float>, problem string"
 
 
@@ -59,5 +61,32 @@ def decode_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(_decoded, SCHEMA)
 
 
+AUDIO = "there boolean, content binary, sample_rate int, samples array<float>, wrong string"
+
+
+def audio_of(items: DataFrame) -> DataFrame:
+    """items (path, ...) with the audio that each path names: whether it is there, the bytes, rate and samples, and what is
+    wrong with it. Each file is looked for and read in the task that has its row; a null path is there, without audio."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", " + AUDIO
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(whole.num_rows):
+                batch = whole.slice(at, 1)
+                path = batch.column("path")[0].as_py()
+                there, content, rate, samples, wrong = True, None, None, None, None
+                if path is not None:
+                    fs, inner = filesystem(path)
+                    there = fs.get_file_info(inner).is_file
+                    if there:
+                        with fs.open_input_stream(inner) as file:
+                            content = file.read()
+                        rate, samples, wrong = decode_wav(content)
+                values = [pa.array([there]), pa.array([content], pa.binary()), pa.array([rate], pa.int32()), pa.array([samples], pa.list_(pa.float32())), pa.array([wrong], pa.string())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *values], names=[*batch.schema.names, "there", "content", "sample_rate", "samples", "wrong"])
+
+    return items.mapInArrow(read, schema)
+
+
 def read_wav(spark: SparkSession, path: str) -> DataFrame:
     return decode_files(spark.read.format("binaryFile").load(path))

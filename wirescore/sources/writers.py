@@ -1,4 +1,4 @@
-"""Result files: one JSON document, written whole or not at all."""
+"""Heads of result documents, and small JSON files written whole or not at all."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ import os
 import tempfile
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
-
 
 def write_json(payload: dict, path: str) -> None:
     """Into a temporary file beside the target, synced and then renamed; missing folders are made."""
@@ -32,23 +30,18 @@ def now(zulu: bool = True) -> str:
     return stamp.replace("+00:00", "Z") if zulu else stamp
 
 
-def rows_of(items: DataFrame, order: str) -> list[dict]:
-    """The rows of a result in order, as a file of one document must hold them."""
-    return [row.asDict(recursive=True) for row in items.orderBy(order).drop(order).toLocalIterator()]
-
-
-def batch_artifact(dataset: dict, adapter: dict, channel: dict, summary: dict, items: list[dict]) -> dict:
-    return {"schema_version": 6, "created_at": now(False), "dataset": dataset, "adapter": adapter, "channel": channel, "summary": summary, "items": items}
+def batch_head(dataset: dict, adapter: dict, channel: dict, summary: dict) -> dict:
+    return {"schema_version": 6, "created_at": now(False), "dataset": dataset, "adapter": adapter, "channel": channel, "summary": summary}
 
 
-def concurrent_artifact(dataset: dict, adapter: dict, load: dict, summary: dict, items: list[dict]) -> dict:
-    return {"kind": "concurrent", "schema_version": 1, "created_at": now(), "dataset": dataset, "adapter": adapter, "load": load, "summary": summary, "items": items}
+def concurrent_head(dataset: dict, adapter: dict, load: dict, summary: dict) -> dict:
+    return {"kind": "concurrent", "schema_version": 1, "created_at": now(), "dataset": dataset, "adapter": adapter, "load": load, "summary": summary}
 
 
-def streaming_artifact(dataset: dict, adapter: dict, streaming: dict, summary: dict, items: list[dict], version: int = 2) -> dict:
+def streaming_head(version: int, timing_mode: str, dataset: dict, adapter: dict, streaming: dict, summary: dict) -> dict:
     """Version 1 holds file uploads only."""
     if version not in (1, 2):
-        raise ValueError(f"unknown version of a streaming artifact: {version}")
-    if version == 1 and streaming.get("timing_mode") != "file_upload":
+        raise ValueError(f"unknown version of a streaming result: {version}")
+    if version == 1 and timing_mode != "file_upload":
         raise TypeError("version 1 holds file uploads only")
-    return {"kind": "streaming", "schema_version": version, "created_at": now(), "dataset": dataset, "adapter": adapter, "streaming": streaming, "summary": summary, "items": items}
+    return {"kind": "streaming", "schema_version": version, "timing_mode": timing_mode, "created_at": now(), "dataset": dataset, "adapter": adapter, "streaming": streaming, "summary": summary}

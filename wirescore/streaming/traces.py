@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.metrics import nearest_rank
+from ..operators.selection import join_groups, nearest_ranks
 from ..operators.summaries import partial_stability
 
 #: What breaks the contract of a streaming run, in the order of precedence within one event.
@@ -25,6 +25,7 @@ FRAMES_LEFT = "every frame must be consumed"
 INPUT_OPEN = "input must be exhausted"
 NO_FINAL = "there must be exactly one final update"
 NO_FRAME = "no frame was submitted"
+NEGATIVE = "durations must not be negative"
 
 
 def _is(kind: str) -> Column:
@@ -56,7 +57,7 @@ def item_metrics(events: DataFrame, paced: bool = False) -> DataFrame:
         F.min(F.when(final, F.col("t"))).alias("final"),
         F.max(_when("end")).alias("end"),
     )
-    common = ["item", "frame_count", "audio_seconds", "final_text", "partial_update_count"]
+    common = ["item", "audio_seconds", "frame_count", "final_text", "partial_update_count"]
     span = lambda a, b: F.col(a) - F.col(b)
     if not paced:
         return made.select(
@@ -112,6 +113,8 @@ def violations(events: DataFrame, expected: DataFrame | None = None, paced: bool
         F.count(_when("frame", "seq")).alias("frames"),
         F.max(_is("input_end")).alias("closed"),
         F.coalesce(F.max(update & F.col("is_final")), F.lit(False)).alias("final"),
+        F.min(F.when(update & F.col("is_final"), F.col("t"))).alias("final_t"),
+        F.max(_when("input_end" if paced else "frame")).alias("input_t"),
     )
     runs = runs.withColumn("left", F.lit(False)) if expected is None else runs.join(expected.select("item", F.col("frames").alias("due")), "item", "left").withColumn("left", F.coalesce(F.col("due") != F.col("frames"), F.lit(False)))
     whole = F.coalesce(
@@ -119,34 +122,52 @@ def violations(events: DataFrame, expected: DataFrame | None = None, paced: bool
         F.when(F.lit(paced) & ~F.col("closed"), INPUT_OPEN),
         F.when(F.col("frames") == 0, NO_FRAME),
         F.when(~F.col("final"), NO_FINAL),
+        F.when(F.col("final_t") < F.col("input_t"), NEGATIVE),
     )
     return runs.select("item", F.col("first.seq").alias("seq"), F.coalesce("first.problem", whole).alias("problem")).where("problem is not null")
 
 
-#: (column, prefix, percentiles wanted, greatest wanted, contributors wanted) of the summaries.
-_FILE = (("time_to_first_partial_seconds", False, True), ("finalization_latency_seconds", False, False), ("total_streaming_wall_seconds", True, False))
+#: Fixed values, in the order of a result: (column, stem in the summary, greatest wanted, contributors wanted).
+_FILE = (
+    ("time_to_first_partial_seconds", "time_to_first_partial", False, True),
+    ("finalization_latency_seconds", "finalization_latency", True, False),
+    ("total_streaming_wall_seconds", "streaming_wall", True, False),
+)
 _PACED = (
-    ("session_setup_seconds", True, False),
-    ("time_to_first_partial_seconds", False, True),
-    ("audio_submitted_seconds_at_first_partial", False, True),
-    ("audio_submission_wall_seconds", True, False),
-    ("finalization_latency_seconds", False, False),
-    ("total_session_wall_seconds", True, False),
+    ("time_to_first_partial_seconds", "time_to_first_partial", False, True),
+    ("audio_submitted_seconds_at_first_partial", "audio_submitted_at_first_partial", False, True),
+    ("session_setup_seconds", "session_setup", True, False),
+    ("audio_submission_wall_seconds", "audio_submission_wall", True, False),
+    ("finalization_latency_seconds", "finalization_latency", True, False),
+    ("total_session_wall_seconds", "total_session_wall", True, False),
 )
 
 
 def summary(items: DataFrame, paced: bool = False, *by: str) -> DataFrame:
-    """One row over all items (or each group): counts, audio seconds, nearest-rank p50 and p95 of each time, the
-    greatest of wall times, and for times that an item may lack how many items have one."""
+    """One row over all items (or each group): counts, audio seconds, nearest-rank p50 and p95 of each time, the greatest of
+    times that every item has, for the others how many items have one, and the mean stability. The ranks are selected
+    level by level, so items should be a written table."""
+    kept = _PACED if paced else _FILE
     aggregates = [F.count("*").alias("item_count"), F.count("*").alias("completed_items"), F.lit(0).cast("bigint").alias("failed_items"), F.coalesce(F.sum("audio_seconds"), F.lit(0.0)).alias("total_audio_seconds")]
-    for column, greatest, contributors in _PACED if paced else _FILE:
-        stem = column.removesuffix("_seconds")
-        aggregates += [nearest_rank(column, p).alias(f"{stem}_p{p}") for p in (50, 95)]
-        aggregates += [F.max(column).alias(f"{stem}_max")] if greatest else []
+    order = ["item_count", "completed_items", "failed_items", "total_audio_seconds"]
+    for column, stem, greatest, contributors in kept:
         aggregates += [F.count(column).alias(f"{stem}_count")] if contributors else []
+        aggregates += [F.max(column).alias(f"{stem}_max_seconds")] if greatest else []
+        order += [f"{stem}_count"] * contributors + [f"{stem}_p50_seconds", f"{stem}_p95_seconds"] + [f"{stem}_max_seconds"] * greatest
     if "partial_stability" in items.columns:
-        aggregates += [F.avg("partial_stability").alias("partial_stability_mean"), F.count("partial_stability").alias("partial_stability_count")]
-    return items.groupBy(*by).agg(*aggregates)
+        aggregates += [F.count("partial_stability").alias("partial_stability_count"), F.avg("partial_stability").alias("partial_stability_mean")]
+        order += ["partial_stability_count", "partial_stability_mean"]
+    ranks = nearest_ranks(items, list(by), [column for column, *_ in kept])
+    ranks = ranks.withColumnsRenamed({f"{column}_p{p}": f"{stem}_p{p}_seconds" for column, stem, *_ in kept for p in (50, 95)})
+    made = items.groupBy(*by).agg(*aggregates)
+    return join_groups(made, ranks, by).select(*by, *order)
+
+
+def update_lists(events: DataFrame, paced: bool = False) -> DataFrame:
+    """Rows item, updates: the text, is_final and observed_seconds of the updates of each item, in order."""
+    rows = observed_updates(events, paced)
+    lists = rows.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("seq", "text", "is_final", "observed_seconds"))).alias("u"))
+    return lists.select("item", F.transform("u", lambda x: F.struct(*[x[c].alias(c) for c in ("text", "is_final", "observed_seconds")])).alias("updates"))
 
 
 def cumulative_text(deltas: DataFrame, item: str = "item", seq: str = "seq", delta: str = "delta") -> DataFrame:
