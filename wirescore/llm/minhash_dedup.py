@@ -4,8 +4,8 @@
    each under a function of the multiply-shift family x -> (a * x + b mod 2^64) >> 32, folded into 40 bands of six. Equal sets
    are one class from here on, summed up in each task before the exchange, so thousands of copies are one row.
 2. Classes that agree on a band are candidates. Two sets with a similarity of 0.85 agree on some band but for 6 in 10^9,
-   for they agree on each with 0.85^6. First each class of a band is held against one of them, the band's least (the pivot),
-   so a large group of near copies costs each class a pair or two. The groups of what is similar are then found, and only bands
+   for they agree on each with 0.85^6. First each class of a band is held against one of them, the pivot: the one that
+   meets most others over all bands, so a large group of near copies costs each class a pair or two. The groups of what is similar are then found, and only bands
    that still hold several groups go on. There, classes of different groups are candidates, the largest group never with
    itself, if their bitmaps allow the similarity: each bit that differs is a shingle that only one of them has, so the
    bound is exact, and of two million such pairs of a crowded table a few thousand are left.
@@ -166,10 +166,14 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 
 def shared_bands(classes: DataFrame) -> DataFrame:
-    """Rows k, id, p of the bands that several classes have; p is the least of them."""
+    """Rows k, id, p of the bands that several classes have. p is the pivot: of the classes of the band, the one that meets most
+    others over all its bands. Of a group of copies with edits of their own, that is what they were copied from, or near it."""
     spread = classes.select(F.explode("keys").alias("k"), "id")
-    shared = spread.groupBy("k").agg(F.count("*").alias("m"), F.min("id").alias("p")).where("m > 1").drop("m")
-    return spread.join(shared, "k")
+    sizes = spread.groupBy("k").agg(F.count("*").alias("m")).where("m > 1")
+    shared = materialise(spread.join(sizes, "k"))
+    met = shared.groupBy("id").agg(F.sum("m").alias("met"))
+    pivots = shared.join(met, "id").groupBy("k").agg(F.max(F.struct("met", "id"))["id"].alias("p"))
+    return shared.select("k", "id").join(pivots, "k")
 
 
 def still_apart(bands: DataFrame, groups: DataFrame) -> DataFrame:
@@ -187,12 +191,12 @@ def strays(apart: DataFrame, classes: DataFrame, percent: int = PERCENT) -> Data
     lengths = F.expr(f"array_distinct(array({_words_of('n')}, {_words_of(f'ceil(n * {percent} / 100)')}))")
     maps = classes.select("id", "n", "bits", F.explode(lengths).alias("w"))
     half = "zip_with(slice(bits, 1, w), slice(bits, w + 1, w), (u, v) -> u | v)"
-    maps = maps.select("id", "n", "w", F.expr(f"if(size(bits) = w, bits, {half})").alias("bits"))
+    maps = maps.select("id", "n", "w", F.size("bits").alias("own"), F.expr(f"if(size(bits) = w, bits, {half})").alias("bits"))
     rows = apart.join(maps, "id")
-    one = rows.where("c <> most").select("k", "w", "most", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
-    other = rows.select("k", "w", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("bits").alias("by"))
+    one = rows.where("c <> most").select("k", "w", "most", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("own").alias("ox"), F.col("bits").alias("bx"))
+    other = rows.select("k", "w", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("own").alias("oy"), F.col("bits").alias("by"))
     differ = "aggregate(zip_with(bx, by, (u, v) -> bit_count(u ^ v)), 0, (s, d) -> s + d)"
-    fit = f"""cx <> cy and (cy = most or x < y) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)
+    fit = f"""cx <> cy and (cy = most or x < y) and w = least(ox, oy) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)
               and 100 * (nx + ny - {differ}) >= {percent} * (nx + ny + {differ})"""
     met = one.join(other, ["k", "w"]).where(fit)
     return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
