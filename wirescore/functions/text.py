@@ -42,7 +42,7 @@ def _places(words) -> dict:
 
 
 def distance(a, b) -> int:
-    """Levenshtein distance of two lists by bit vectors: a column of the table of distances is kept as the bits of where it
+    """Levenshtein distance of two lists or texts by bit vectors: a column of the table of distances is kept as the bits of where it
     steps up and down, and one word of b moves the whole column on by a few operations on integers of len(a) bits."""
     first = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     a, b = a[first:], b[first:]
@@ -50,6 +50,8 @@ def distance(a, b) -> int:
     a, b = a[: len(a) - last], b[: len(b) - last]
     if not len(a) or not len(b):
         return max(len(a), len(b))
+    if len(a) < len(b):  # wide integers cost less than many steps
+        a, b = b, a
     places, every, bottom = _places(a), (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, total = every, 0, len(a)
     for word in b:
@@ -85,8 +87,10 @@ def _of_pairs(function):
 word_edits = _of_pairs(distance)
 
 
-def character_edits(reference: Column, hypothesis: Column) -> Column:
-    return F.levenshtein(F.replace(reference, F.lit(" "), F.lit("")), F.replace(hypothesis, F.lit(" "), F.lit("")))
+@F.pandas_udf(IntegerType())
+def character_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    """Levenshtein distance of two texts without their spaces."""
+    return pd.Series([None if a is None or b is None else distance(a.replace(" ", ""), b.replace(" ", "")) for a, b in zip(reference, hypothesis)], dtype="Int32")
 
 
 def error_rate(edits: Column, units: Column) -> Column:

@@ -12,7 +12,9 @@ from ..functions import text as T
 from ..operators import metrics as M
 from ..operators import summaries
 from ..operators.fingerprint import item_bytes
+from ..operators.protocol import Machine, run_machine
 from ..operators.selection import join_groups, nearest_ranks
+from ..sources.manifest import parse_items
 from ..sources.shared import written
 from ..streaming import traces
 
@@ -234,6 +236,26 @@ def channel_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id bigint, i bigint, pcm bigint")
 
 
+#: What the events of a user may do, in the order of their log.
+SHOP = Machine({"new": {"view": "new", "signup": "open"}, "open": {"view": "open", "click": "open", "error": "open", "purchase": "paid"}, "paid": {"view": "paid", "signup": "open"}}, "paid")
+
+
+def protocol_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each user that the machine above does not allow; chunks are a thousand events of the log."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), F.lit(None).cast("string").alias("text"))
+    return run_machine(rows, SHOP, F.expr("seq div 1000"))
+
+
+def manifest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as lines of a manifest, with ids that come round, sources as audio and one source without a file."""
+    docs = table(spark, sf_dir, "documents")
+    item = F.to_json(F.struct(F.concat(F.lit("d"), F.col("doc_id") % 900).alias("id"), F.col("source").alias("audio"), F.coalesce("text", F.lit("")).alias("reference"), F.col("lang").alias("language")))
+    lines = docs.select((F.col("doc_id") + 1).alias("line_number"), F.col("doc_id").alias("item_index"), item.alias("line"))
+    there = docs.select(F.col("source").alias("audio")).where(F.col("source") != docs.agg(F.min("source")).first()[0])
+    rows = parse_items(lines, there)
+    return rows.select("line_number", "id", "audio", F.sha2("reference", 256).alias("reference"), "language", "problem")
+
+
 _NORMAL = r"trim(regexp_replace(replace(lower({0}),'ß','ss'),'[\p{{P}}\p{{S}}\s]+',' ','g'))"
 
 _SQL = {
@@ -355,6 +377,20 @@ _SQL |= {
         NULL::DOUBLE AS total_session_wall_p50_seconds, NULL::DOUBLE AS total_session_wall_p95_seconds, NULL::DOUBLE AS total_session_wall_max_seconds FROM pa GROUP BY odd""",
     "stream_update_lists": f"""WITH {_TRACES}, ob AS (SELECT item, seq, text, is_final, t - min(CASE WHEN kind = 'start' THEN t END) OVER (PARTITION BY item) AS o FROM tr QUALIFY kind = 'update')
         SELECT item, count(*) AS n, sha256(string_agg(concat_ws('|', text, is_final::VARCHAR, coalesce(round(o * 1000000)::BIGINT::VARCHAR, '-')), ';' ORDER BY seq)) AS digest FROM ob GROUP BY item""",
+    "protocol_sessions": """WITH RECURSIVE m(state, kind, next) AS (VALUES ('new', 'view', 'new'), ('new', 'signup', 'open'), ('open', 'view', 'open'), ('open', 'click', 'open'), ('open', 'error', 'open'),
+            ('open', 'purchase', 'paid'), ('paid', 'view', 'paid'), ('paid', 'signup', 'open')),
+        e AS (SELECT user_id AS item, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+        w(item, rn, state, at_seq, k) AS (
+            SELECT DISTINCT item, 0::BIGINT, 'new', NULL::BIGINT, NULL::VARCHAR FROM e
+            UNION ALL
+            SELECT w.item, e.rn, CASE WHEN w.at_seq IS NULL THEN coalesce(m.next, w.state) ELSE w.state END, CASE WHEN w.at_seq IS NULL AND m.next IS NULL THEN e.event_id ELSE w.at_seq END,
+                   CASE WHEN w.at_seq IS NULL AND m.next IS NULL THEN e.event_type ELSE w.k END
+            FROM w JOIN e ON e.item = w.item AND e.rn = w.rn + 1 LEFT JOIN m ON m.state = w.state AND m.kind = e.event_type)
+        SELECT w.item, e.n AS n_events, state, at_seq, k || ' is not allowed when ' || state AS problem, at_seq IS NULL AND state = 'paid' AS finished FROM w JOIN e ON e.item = w.item AND e.rn = w.rn WHERE w.rn = e.n""",
+    "manifest_items": """WITH i AS (SELECT doc_id + 1 AS line_number, 'd' || (doc_id % 900) AS id, source AS audio, coalesce(text, '') AS t, lang FROM documents),
+        p AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY id ORDER BY line_number) > 1 THEN concat('duplicate id ', chr(39), id, chr(39))
+                             WHEN audio = (SELECT min(source) FROM documents) THEN 'audio file does not exist: ' || audio END AS problem FROM i)
+        SELECT line_number, id, audio, sha256(t) AS reference, lang AS language, problem FROM p""",
     "stream_observed": f"WITH {_TRACES} SELECT item, seq, is_final, round(t - min(CASE WHEN kind = 'start' THEN t END) OVER (PARTITION BY item), 5) AS observed_seconds FROM tr QUALIFY kind = 'update'",
     "stream_violations": f"""WITH {_TRACES}, ne AS (SELECT item, seq, kind, text, is_final, CASE WHEN item % 4 = 1 THEN -t ELSE t END AS t FROM tr),
         w AS (SELECT *, t < lag(t) OVER (PARTITION BY item ORDER BY seq) AS back, kind = 'update' AS u, max((kind = 'update' AND is_final)::INT) OVER b AS done, max((kind = 'frame')::INT) OVER b AS began
@@ -387,6 +423,7 @@ def queries() -> dict:
             normalize_text_rows, word_counts, wer_adjacent_turns, cer_adjacent_turns, wer_corpus_by_role, entity_extract, entity_preservation, latency_percentiles, nullable_metrics, ratio_metrics,
             running_total, first_event_per_user, duplicate_ids, missing_labels, gain_clip, pcm16_mu_law, pcma_round_trip, resample_half, partial_stability, load_by_type, fingerprint_items, frame_split, signal_rms, channel_noise, channel_loss,
             stream_file_items, stream_paced_items, stream_summary, stream_paced_summary, stream_update_lists, stream_observed, stream_violations, cumulative_turns, batch_by_role, channel_chain,
+            protocol_sessions, manifest_items,
         )
     }
 

@@ -16,25 +16,34 @@ STATE = "t double, done boolean"
 FOUND = "item string, seq bigint, problem string"
 
 
-def _check(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, done = state.get if state.exists else (-math.inf, False)
-    out = []
-    for row in pd.concat(parts).sort_values("seq").itertuples():
-        t = float("nan") if row.t is None else float(row.t)
-        update = row.kind == "update"
-        problem = NOT_FINITE if not math.isfinite(t) else WENT_BACK if t < last else AFTER_FINAL if update and done else None
-        if problem:
-            out.append((str(key[0]), int(row.seq), problem))
-        last = t if math.isfinite(t) else last
-        done = done or bool(update and row.is_final is not None and row.is_final)
-    state.update((last, done))
-    yield pd.DataFrame(out, columns=["item", "seq", "problem"])
-
-
-def live_violations(events: DataFrame) -> DataFrame:
+def _checker(idle_ms: int):
+    def check(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, done = state.get if state.exists else (-math.inf, False)
+        out = []
+        for row in pd.concat(parts).sort_values("seq").itertuples():
+            t = float("nan") if row.t is None else float(row.t)
+            update = row.kind == "update"
+            problem = NOT_FINITE if not math.isfinite(t) else WENT_BACK if t < last else AFTER_FINAL if update and done else None
+            if problem:
+                out.append((str(key[0]), int(row.seq), problem))
+            last = t if math.isfinite(t) else last
+            done = done or bool(update and row.is_final is not None and row.is_final)
+        state.update((last, done))
+        state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=["item", "seq", "problem"])
+
+    return check
+
+
+def live_violations(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
     """events (item, seq, kind, t, is_final), a stream in order within each item: every event that breaks the contract
-    as soon as it comes. What is kept for an item is two values."""
-    return events.select("item", "seq", "kind", "t", "is_final").groupBy("item").applyInPandasWithState(_check, FOUND, STATE, "append", GroupStateTimeout.NoTimeout)
+    as soon as it comes. What is kept for an item is two values, until nothing has come for it for idle_ms; events of a batch are
+    put in order, those of an earlier batch cannot be."""
+    rows = events.select("item", "seq", "kind", "t", "is_final").groupBy("item")
+    return rows.applyInPandasWithState(_checker(idle_ms), FOUND, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def activity(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
