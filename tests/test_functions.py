@@ -96,6 +96,41 @@ def test_noise_hits_the_ratio():
         assert abs(10 * np.log10(np.mean(tone.astype(np.float64) ** 2) / np.mean(noise**2)) - snr) < 1e-3
 
 
+def test_signals_that_cannot_have_noise(spark):
+    rows = [(1, [0.5, -0.5]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [0.1, float("nan")]), (6, [0.1, None]), (None, [0.5])]
+    df = spark.createDataFrame(rows, "i bigint, s array<float>")
+    got = {r["i"]: (r["x"], r["why"]) for r in df.select("i", S.additive_noise(F.col("s"), F.col("i"), 10.0).alias("x"), S.noise_problem(F.col("s")).alias("why")).collect()}
+    assert len(got[1][0]) == 2 and got[1][1] is None and all(got[i][0] is None and got[i][1] for i in range(2, 7)) and got[None] == (None, None)
+
+
+@pytest.mark.parametrize(("rate", "target"), [(16000, 8000), (11025, 8000), (8000, 16000), (44100, 8000), (8000, 8000)])
+def test_resampling_by_its_definition(spark, rate, target):
+    """Together, one by one, as a table, and as a sum over all inputs of a windowed sinc."""
+    rng = np.random.default_rng(9)
+    signals = [rng.normal(0, 0.3, n).astype(np.float32) for n in (1, 7, 40, 333, 0)]
+    common = np.gcd(rate, target)
+    up, down = target // common, rate // common
+    wide = max(up, down)
+    kernel = lambda z: np.where(np.abs(z) <= 10, np.sinc(z) * np.i0(5 * np.sqrt(np.maximum(0, 1 - (z / 10) ** 2))) / np.i0(5.0), 0)
+    scale = up / kernel(np.arange(-10 * wide, 10 * wide + 1) / wide).sum()
+    together = S.resampled_rows(signals, rate, target)
+    for x, y in zip(signals, together, strict=True):
+        n = -(-len(x) * up // down)
+        want = [(kernel((i * down - np.arange(len(x)) * up) / wide) * scale * x).sum() for i in range(n)] if up != down else x
+        assert len(y) == n and np.allclose(y, want, atol=1e-6) and np.array_equal(y, S.resampled(x, rate, target))
+    if up != down:
+        df = spark.createDataFrame([(i, len(x), k, float(v)) for i, x in enumerate(signals) for k, v in enumerate(x)], "item int, n int, k int, x double")
+        table = {(r["item"], r["i"]): r["x"] for r in S.resampled_table(df, rate, target).collect()}
+        assert all(abs(table[j, i] - v) < 1e-6 for j, y in enumerate(together) for i, v in enumerate(y)) and len(table) == sum(map(len, together))
+
+
+def test_normal_forms_agree(spark):
+    """Texts of ASCII characters, which stay in the JVM, and others."""
+    odd = ["".join(map(chr, range(128))), "a\x1cb\x1dc", " A-b_C ", "", "¿É?", "ﬁ²", None, "x\x00y", "tab\tnew\nline", "Straße №5", "a\u2028b"]
+    df = spark.createDataFrame([(t,) for t in odd], "t string").select(T.normalize_text("t"))
+    assert [r[0] for r in df.collect()] == [T.normalised(t) for t in odd]
+
+
 def test_results_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame([(i, [0.1 * (i + 1), -0.2, 0.3]) for i in range(20)], "i bigint, s array<float>")
     made = lambda n: sorted(map(str, df.repartition(n).select("i", S.additive_noise(F.col("s"), F.col("i"), 10.0).alias("x")).collect()))

@@ -262,6 +262,16 @@ def test_paced_by_a_script(spark, tmp_path):
     assert [got["summary"][c] for c in PACED_SUMMARY] == [3, 3, 0, 0.875, 2, 0.125, 0.1875, 2, 0.125, 0.25, 0.0, 0.5, 0.5, 0.25, 0.25, 0.25, 0.25, 0.5, 0.5, 0.6875, 1.125, 1.125, 2, 0.75]
 
 
+def test_tones_make_a_run(spark, tmp_path):
+    from wirescore.sources import tones
+
+    path = tones.write_tones(tones.square_waves(spark, (500, 800), 1600), str(tmp_path / "t"))
+    got = runs.run_batch(spark, path, adapters.LengthAdapter).read()
+    assert [(i["id"], i["hypothesis"]) for i in got["items"]] == [("tone-500", "audio of 10"), ("tone-800", "audio of 10")]
+    pcm = tones.square_waves(spark, (500,), 64).first()["pcm"]
+    assert pcm == [8192] * 16 + [-8192] * 16 + [8192] * 16 + [-8192] * 16
+
+
 def test_streaming_failures(spark, tmp_path):
     path = manifest(tmp_path)
 

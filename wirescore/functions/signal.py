@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of G.711: sample bounds, bias and segment ends of each law, silence bytes.
@@ -92,13 +92,25 @@ def noisy(samples: np.ndarray, snr_db: float, seed: int) -> np.ndarray:
 
 
 def additive_noise(samples: Column, item: Column, snr_db: float, run: int = 0) -> Column:
-    """Gaussian noise scaled to the ratio; its stream depends on run and item alone."""
+    """Gaussian noise scaled to the ratio; its stream depends on run and item alone. Null where there is no such noise: for a
+    null, empty, silent or not finite signal (see noise_problem) or a null item."""
 
     @F.pandas_udf("array<float>")
     def add(values: pd.Series, items: pd.Series) -> pd.Series:
-        return pd.Series([noisy(v, snr_db, stream_seed(run, int(i), 1)) for v, i in zip(values, items)])
+        return pd.Series([None if v is None or pd.isna(i) else noisy(v, snr_db, stream_seed(run, int(i), 1)) for v, i in zip(values, items)])
 
-    return add(samples, item)
+    fit = noise_problem(samples).isNull() & item.isNotNull()
+    return F.when(fit, add(F.when(fit, samples), F.when(fit, item)))
+
+
+def noise_problem(samples: Column) -> Column:
+    """Why a signal cannot have noise at a ratio to its own power; null if it can."""
+    return (
+        F.when(samples.isNull(), "there is no signal")
+        .when(F.size(samples) == 0, "the signal is empty")
+        .when(F.exists(samples, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), "the signal is not finite")
+        .when(~F.exists(samples, lambda x: x != 0), "a silent signal has no signal-to-noise ratio")
+    )
 
 
 def lost(payload: bytes, codec: str, loss_rate: float, frame_ms: int = 20, seed: int = 0) -> bytes:
@@ -177,32 +189,82 @@ def a_law_decode(codes: Column) -> Column:
     return F.transform(codes, lambda c: F.element_at(lookup, c + 1).cast("float"))
 
 
-def resampled(samples: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """Polyphase resampling with a Kaiser-windowed (beta 5) low pass of 10 zero crossings a side,
-    zeros beyond the ends, ceil(n * target / rate) samples. Sums are in double precision."""
-    x = np.asarray(samples, np.float64)
-    if rate == target:
-        return x.astype(np.float32)
+def taps(rate: int, target: int) -> tuple[int, int, np.ndarray]:
+    """(up, down, h): a row of h for each of the `up` places that an output may have between two inputs, with what it takes of
+    the inputs around it: a Kaiser-windowed (beta 5) low pass of 10 zero crossings a side, summing to `up`."""
     common = np.gcd(rate, target)
     up, down = int(target // common), int(rate // common)
     half = 10 * max(up, down)
-    taps = np.arange(-half, half + 1) / max(up, down)
-    low_pass = np.sinc(taps) * np.kaiser(2 * half + 1, 5.0)
+    at = np.arange(-half, half + 1) / max(up, down)
+    low_pass = np.sinc(at) * np.kaiser(2 * half + 1, 5.0)
     low_pass *= up / low_pass.sum()
-    n, reach = -(-len(x) * up // down), half // up + 1
-    out = np.empty(n)
-    for a in range(0, n, 1 << 14):
-        at = np.arange(a, min(n, a + (1 << 14)))[:, None] * down
-        k = at // up + np.arange(-reach, reach + 1)
-        tap = half + at - k * up
-        ok = (tap >= 0) & (tap <= 2 * half) & (k >= 0) & (k < len(x))
-        out[a : a + len(at)] = (np.where(ok, x[np.clip(k, 0, len(x) - 1)], 0) * low_pass[np.clip(tap, 0, 2 * half)]).sum(1)
-    return out.astype(np.float32)
+    reach = half // up + 1
+    tap = half + np.arange(up)[:, None] - np.arange(-reach, reach + 1) * up
+    return up, down, np.where((tap >= 0) & (tap <= 2 * half), low_pass[np.clip(tap, 0, 2 * half)], 0.0)
+
+
+def tap_table(spark: SparkSession, rate: int, target: int) -> DataFrame:
+    """Rows o, tap: output n is the sum over inputs k of tap * input[k] where o = n * down - k * up."""
+    up, down, h = taps(rate, target)
+    reach = h.shape[1] // 2
+    rows = [(p - (j - reach) * up, float(h[p, j])) for p in range(up) for j in range(2 * reach + 1) if h[p, j]]
+    return spark.createDataFrame(rows, "o bigint, tap double")
+
+
+def resampled_table(samples: DataFrame, rate: int, target: int, by: str = "item") -> DataFrame:
+    """samples (by, n: samples of the signal, k: place from 0, x): rows by, i, x at the target rate, by a join of each sample's
+    outputs with the table of taps, and a sum. No signal meets in one task, however long; the table has as many rows as taps."""
+    up, down, _ = taps(rate, target)
+    half = 10 * max(up, down)
+    first, last = f"greatest(0, cast(ceil((k * {up} - {half}) / {down}) as bigint))", f"least(cast(ceil(n * {up} / {down}) as bigint) - 1, cast(floor((k * {up} + {half}) / {down}) as bigint))"
+    reached = samples.where(f"{first} <= {last}").select(by, "k", "x", F.explode(F.expr(f"sequence({first}, {last})")).alias("i")).withColumn("o", F.col("i") * down - F.col("k") * up)
+    met = reached.join(F.broadcast(tap_table(samples.sparkSession, rate, target)), "o")
+    return met.groupBy(by, "i").agg(F.sum(F.col("x").cast("double") * F.col("tap")).alias("x"))
+
+
+#: Outputs that are summed at once.
+BLOCK = 1 << 14
+
+
+def resampled_rows(rows: list[np.ndarray], rate: int, target: int) -> list[np.ndarray]:
+    """Each signal at the target rate: ceil(n * target / rate) samples, zeros beyond its ends, sums in double precision. The
+    signals of one rate lie end to end with a filter's reach of zeros between, so that blocks of windows of all of them
+    are multiplied with the taps of their places at once."""
+    if rate == target or not rows:
+        return [np.asarray(x, np.float32) for x in rows]
+    up, down, h = taps(rate, target)
+    reach = h.shape[1] // 2
+    sizes = np.array([len(x) for x in rows])
+    begin = np.cumsum(sizes + reach) - sizes
+    line = np.zeros(int(begin[-1] + sizes[-1] + reach + 1))
+    for x, at in zip(rows, begin, strict=True):
+        line[at : at + len(x)] = x
+    counts = -(-sizes * up // down)
+    n = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    centre, phase = np.repeat(begin, counts) + n * down // up, n * down % up
+    windows = np.lib.stride_tricks.sliding_window_view(line, 2 * reach + 1)
+    out = np.empty(len(n), np.float32)
+    for a in range(0, len(n), BLOCK):
+        seen = windows[centre[a : a + BLOCK] - reach]
+        out[a : a + BLOCK] = seen @ h[0] if up == 1 else np.einsum("nj,nj->n", seen, h[phase[a : a + BLOCK]])
+    return np.split(out, np.cumsum(counts)[:-1])
+
+
+def resampled(samples: np.ndarray, rate: int, target: int) -> np.ndarray:
+    return resampled_rows([np.asarray(samples, np.float64)], rate, target)[0]
 
 
 def resample(samples: Column, rate: Column, target: int) -> Column:
+    """Null for a null signal or rate. The rows of a batch that have one rate are resampled together."""
+
     @F.pandas_udf("array<float>")
     def convert(values: pd.Series, rates: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else resampled(v, int(r), target) for v, r in zip(values, rates)])
+        out: list = [None] * len(values)
+        known = [i for i, (v, r) in enumerate(zip(values, rates)) if v is not None and not pd.isna(r)]
+        for one in {int(rates.iloc[i]) for i in known}:
+            which = [i for i in known if rates.iloc[i] == one]
+            for i, x in zip(which, resampled_rows([values.iloc[i] for i in which], one, target), strict=True):
+                out[i] = x
+        return pd.Series(out)
 
     return convert(samples, rate)

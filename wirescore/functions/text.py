@@ -16,19 +16,38 @@ ENTITY = rf"(?<!{_WORD})(?:\+?(?:[0-9]{_BETWEEN}*){{6,}}[0-9]|[0-9]+)(?!{_WORD})
 PHONE_DIGITS = 7
 
 
+class _Blanks(dict):
+    """Code points as they are, but punctuation and symbols as a space; each is looked up once."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = found = 32 if unicodedata.category(chr(code))[0] in "PS" else code
+        return found
+
+
+_BLANKS = _Blanks()
+
+
 def normalised(text: str | None) -> str | None:
     """NFKC, case folding, punctuation and symbols to spaces, white space collapsed."""
     if text is None:
         return None
-    folded = unicodedata.normalize("NFKC", text).casefold()
-    return " ".join("".join(" " if unicodedata.category(c)[0] in "PS" else c for c in folded).split())
+    return " ".join(unicodedata.normalize("NFKC", text).casefold().translate(_BLANKS).split())
 
 
 @F.pandas_udf(StringType())
-def normalize_text(text: pd.Series) -> pd.Series:
+def _normalised(text: pd.Series) -> pd.Series:
     return text.map(normalised)
 
 
+def normalize_text(text: Column | str) -> Column:
+    """normalised() of a column. A text of ASCII characters has no forms to fold, so it stays in the JVM; only the others go
+    through Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    plain = text.rlike(r"\A[\x00-\x7f]*\z")
+    here = F.trim(F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~\x09-\x0d\x1c-\x20]+", " "))
+    return F.when(plain, here).otherwise(_normalised(F.when(~plain, text)))
+
+
 def tokens(normal: Column) -> Column:
     return F.filter(F.split(normal, " "), lambda x: x != "")
 

@@ -114,7 +114,14 @@ def pcma_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resample_half(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", S.resample(F.col("embedding"), F.lit(16000), S.TELEPHONE_RATE).alias("half"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(S.resample(F.col("embedding"), F.lit(16000), S.TELEPHONE_RATE)).alias("i", "x"))
+    return rows.select("vec_id", F.col("i").cast("bigint").alias("i"), (F.round(F.col("x").cast("double"), 5) + 0.0).alias("x"))
+
+
+def resample_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 11,025 Hz, as a join: the plan for signals too long for one task."""
+    samples = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("n"), F.posexplode("embedding").alias("k", "x"))
+    return S.resampled_table(samples, 11025, S.TELEPHONE_RATE, "vec_id").select("vec_id", "i", (F.round("x", 5) + 0.0).alias("x"))
 
 
 def partial_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -357,7 +364,20 @@ _TRACES = """tr AS (
         fi AS (SELECT item, frame_count, round(audio_seconds, 5) AS audio_seconds, final_text, partial_update_count, round(first_t - s, 5) AS time_to_first_partial_seconds,
                       round(d - l, 5) AS finalization_latency_seconds, round(e - s, 5) AS total_streaming_wall_seconds FROM it)"""
 
+#: The taps by their definition: a sinc under a Kaiser window, whose Bessel function is summed as a series.
+_LOW_PASS = """w AS (SELECT o, o / greatest({up}, {down})::DOUBLE AS z FROM (SELECT unnest(range(-10 * greatest({up}, {down}), 10 * greatest({up}, {down}) + 1)) AS o)),
+        b AS (SELECT o, CASE WHEN z = 0 THEN 1 ELSE sin(pi() * z) / (pi() * z) END * list_sum([power(power(6.25 * (1 - power(z / 10, 2)), k) / power(factorial(k::INT)::DOUBLE, 2), 1) FOR k IN range(0, 25)]) AS t FROM w),
+        lp AS (SELECT o, {up} * t / (SELECT sum(t) FROM b) AS tap FROM b)"""
+
 _SQL |= {
+    "resample_half": f"""WITH {_LOW_PASS.format(up=1, down=2)}
+        SELECT vec_id, i, round(CAST(sum(s * tap) AS FLOAT)::DOUBLE, 5) + 0.0::DOUBLE AS x
+        FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS k, unnest(embedding)::DOUBLE AS s, len(embedding) AS n FROM embeddings), lp
+        JOIN (SELECT unnest(range(100)) AS i) ON 2 * i - k BETWEEN -20 AND 20 AND o = 2 * i - k WHERE i < (n + 1) // 2 GROUP BY vec_id, i""",
+    "resample_by_table": f"""WITH {_LOW_PASS.format(up=320, down=441)}
+        SELECT vec_id, i, round(sum(s * tap), 5) + 0.0::DOUBLE AS x
+        FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS k, unnest(embedding)::DOUBLE AS s, len(embedding) AS n FROM embeddings)
+        JOIN (SELECT unnest(range(100)) AS i) ON i * 441 - k * 320 BETWEEN -4410 AND 4410 JOIN lp ON o = i * 441 - k * 320 WHERE i < (n * 320 + 440) // 441 GROUP BY vec_id, i""",
     "stream_file_items": f"WITH {_TRACES} SELECT * FROM fi",
     "stream_paced_items": f"""WITH {_TRACES} SELECT item, frame_count, round(audio_seconds, 5) AS audio_seconds, final_text, partial_update_count, round(f - s, 5) AS session_setup_seconds,
         round(first_t - f, 5) AS time_to_first_partial_seconds, round(first_s, 5) AS audio_submitted_seconds_at_first_partial, round(e - f, 5) AS audio_submission_wall_seconds,
@@ -421,7 +441,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             normalize_text_rows, word_counts, wer_adjacent_turns, cer_adjacent_turns, wer_corpus_by_role, entity_extract, entity_preservation, latency_percentiles, nullable_metrics, ratio_metrics,
-            running_total, first_event_per_user, duplicate_ids, missing_labels, gain_clip, pcm16_mu_law, pcma_round_trip, resample_half, partial_stability, load_by_type, fingerprint_items, frame_split, signal_rms, channel_noise, channel_loss,
+            running_total, first_event_per_user, duplicate_ids, missing_labels, gain_clip, pcm16_mu_law, pcma_round_trip, resample_half, partial_stability, load_by_type, fingerprint_items, frame_split, resample_by_table, signal_rms, channel_noise, channel_loss,
             stream_file_items, stream_paced_items, stream_summary, stream_paced_summary, stream_update_lists, stream_observed, stream_violations, cumulative_turns, batch_by_role, channel_chain,
             protocol_sessions, manifest_items,
         )
