@@ -332,6 +332,10 @@ def test_commands(spark, tmp_path, capsys):
     assert cli.main(["streaming", path, "--output", str(tmp_path / "p.json"), "--realtime-factor", "40"]) == 2
     assert cli.main(["compare", str(tmp_path / "l.json")]) == 2
     assert cli.main(["run", path, "--output", out, "--adapter", "no.such:thing"]) == 2
+    assert cli.main(["run", path, "--output", out, "--adapter-option", "model=tiny", "--adapter-option", "device=2"]) == 0
+    assert json.loads((tmp_path / "r.json").read_text())["adapter"] | {"compute_type": "", "decoding_options": {}} == {"name": "length", "model": "tiny", "device": 2, "compute_type": "", "decoding_options": {}}
+    for option in ("colour=red", "=x", "model"):
+        assert cli.main(["run", path, "--output", out, "--adapter-option", option]) == 2
     for wrong in (["--packet-loss-rate", "1.5"], ["--gain-db", "nan"], ["--clip-threshold", "0"], ["--frame-duration-ms", "0"], ["--seed", "-1"]):
         with pytest.raises(SystemExit) as end:
             cli.main(["run", path, "--output", out, *wrong])
@@ -393,6 +397,11 @@ def test_channel_streams_depend_on_seed_and_item():
     assert 0.3 < (late.reshape(-1, 160) == silent).all(1).mean() < 0.7
 
 
+def test_options():
+    texts = {"a=1": 1, "a=1.5": 1.5, "a=true": True, "a=yes": "yes", "a=NaN": "NaN", "a=": "", 'a="q"': '"q"', "a=x=y": "x=y", "a=null": "null"}
+    assert {t: adapters.parse_option(t)[1] for t in texts} == texts
+
+
 def test_protocol_pieces():
     assert adapters.base_url(" https://host:8/v1/ ") == "https://host:8/v1" and adapters.socket_url("https://host/v1", "/live") == "wss://host/v1/live"
     for wrong in ("ftp://h", "https://u:p@h", "http://h?x=1", "http://", "https://h#a"):

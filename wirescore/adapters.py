@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import base64
+import functools
 import importlib
+import inspect
 import io
 import json
+import math
 import wave
 from collections.abc import AsyncIterable, AsyncIterator, Callable, Iterable
 from dataclasses import dataclass, field
@@ -77,8 +80,9 @@ class LengthAdapter:
         yield f"audio of {round(100 * n / sample_rate)}", True
 
 
-def load_factory(name: str) -> Callable[[], Adapter]:
-    """The factory named by `module:attribute`."""
+def load_factory(name: str, options: dict[str, bool | int | float | str] | None = None) -> Callable[[], Adapter]:
+    """The factory named by `module:attribute`, with these options; ones that it has no parameter for are refused at once,
+    before anything runs."""
     module, _, attribute = name.partition(":")
     try:
         found = getattr(importlib.import_module(module), attribute)
@@ -86,7 +90,27 @@ def load_factory(name: str) -> Callable[[], Adapter]:
         raise ConfigurationError(f"no adapter factory {name}: {wrong}") from wrong
     if not callable(found):
         raise ConfigurationError(f"{name} is not callable")
-    return found
+    if not options:
+        return found
+    try:
+        inspect.signature(found).bind(**options)
+    except TypeError as wrong:
+        raise ConfigurationError(f"{name}: {wrong}") from wrong
+    return functools.partial(found, **options)
+
+
+def parse_option(text: str) -> tuple[str, bool | int | float | str]:
+    """`name=value`; the value is a JSON boolean or number, or else the text itself."""
+    name, equals, value = text.partition("=")
+    if not equals or not name.isidentifier():
+        raise ConfigurationError(f"an adapter option is name=value: {text}")
+    try:
+        known = json.loads(value, parse_constant=lambda c: None)
+    except ValueError:
+        return name, value
+    if isinstance(known, (bool, int)) or (isinstance(known, float) and math.isfinite(known)):
+        return name, known
+    return name, value
 
 
 def pcm16_bytes(samples) -> bytes:

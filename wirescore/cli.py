@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
-from .adapters import AdapterError, load_factory
+from .adapters import AdapterError, load_factory, parse_option
 from .functions.channel import CODECS, Channel, ConfigurationError, realtime_factor
 from .plans import runs
 from .sources import artifacts
@@ -51,6 +51,7 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("manifest")
         one.add_argument("--output", required=True)
         one.add_argument("--adapter", default="wirescore.adapters:LengthAdapter", help="module:factory")
+        one.add_argument("--adapter-option", action="append", default=[], metavar="NAME=VALUE", help="passed to the factory; may be repeated")
     run.add_argument("--codec", choices=CODECS, default="none")
     run.add_argument("--packet-loss-rate", type=_number(0, 1), default=0.0)
     run.add_argument("--gain-db", type=_number(), default=0.0)
@@ -78,7 +79,7 @@ def main(arguments: Sequence[str] | None = None) -> int:
         if command == "compare":
             print(artifacts.markdown(artifacts.compare(spark, given["results"])))
             return 0
-        manifest, output, factory = given.pop("manifest"), given.pop("output"), load_factory(given.pop("adapter"))
+        manifest, output, factory = given.pop("manifest"), given.pop("output"), load_factory(given.pop("adapter"), dict(map(parse_option, given.pop("adapter_option"))))
         if command == "run":
             made = runs.run_batch(spark, manifest, factory, Channel(**given))
         elif command == "concurrent":
