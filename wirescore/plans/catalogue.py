@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import channel
 from ..functions import signal as S
+from ..functions import streams
 from ..functions import text as T
 from ..operators import metrics as M
 from ..operators import summaries
@@ -161,6 +162,15 @@ def channel_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("vec_id", F.hex("payload").alias("payload"))
 
 
+def loss_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 2 ms of each vector as mu-law codes, a fifth of them lost, all in columns."""
+    codes = table(spark, sf_dir, "embeddings").select("vec_id", S.mu_law(S.pcm16(F.col("embedding"))).alias("codes"))
+    n = F.ceil(F.size("codes") / F.lit(16.0)).cast("int")
+    seed = streams.seed_words([F.lit(3), F.col("vec_id")], 1)[0]
+    rows = codes.select("vec_id", F.posexplode(streams.uniforms(seed, n)).alias("frame", "u"))
+    return rows.select("vec_id", F.col("frame").cast("bigint").alias("frame"), "u", (F.col("u") < 0.2).alias("lost"))
+
+
 def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events of each user as a trace: event types stand for kinds, the value for seconds of audio, props for text."""
     kinds = F.create_map(*[F.lit(x) for pair in (("signup", "start"), ("view", "frame"), ("error", "end"), ("click", "update"), ("purchase", "update")) for x in pair])
@@ -436,12 +446,68 @@ _SQL |= {
 }
 
 
+def _seed_sequence(name: str, source: str, words: list[str], n: int) -> str:
+    """CTEs that end in `name`: the rows of source with g0, g1, .., the words of the seed sequence of `words`."""
+    w, steps, at = streams.WORD, [], 0
+
+    def cte(select: str) -> None:
+        nonlocal at
+        steps.append(f"{name}_{at} AS (SELECT {select} FROM {f'{name}_{at - 1}' if at else source})")
+        at += 1
+
+    def hashed(x: str, before: int, after: int, name: str) -> str:
+        return f"(xor({x}, {before}::UBIGINT) * {after}::UBIGINT) & {w}::UBIGINT AS {name}"
+
+    start = streams.hash_constants(streams.INIT_A, streams.MULT_A, 4)
+    cte("*, " + ", ".join(hashed(f"({words[i] if i < len(words) else 0})::UBIGINT", *start[i], f"p{i}") for i in range(4)))
+    fold = lambda c: f"xor({c}, {c} >> 16) AS {c}"
+    cte("* REPLACE (" + ", ".join(fold(f"p{i}") for i in range(4)) + ")")
+    for i, j, before, after in streams.pool_steps():
+        cte(f"*, {hashed(f'p{i}', before, after, 'h')}")
+        cte(f"* EXCLUDE (h) REPLACE ((((p{j} * {streams.MIX_L}::UBIGINT) & {w}::UBIGINT) + {w + 1}::UBIGINT - ((xor(h, h >> 16) * {streams.MIX_R}::UBIGINT) & {w}::UBIGINT)) & {w}::UBIGINT AS p{j})")
+        cte(f"* REPLACE ({fold(f'p{j}')})")
+    cte("* EXCLUDE (p0, p1, p2, p3), " + ", ".join(hashed(f"p{k % 4}", *c, f"g{k}") for k, c in enumerate(streams.hash_constants(streams.INIT_B, streams.MULT_B, n))))
+    steps.append(f"{name} AS (SELECT * REPLACE ({', '.join(fold(f'g{k}') for k in range(n))}) FROM {name}_{at - 1})")
+    return ",\n".join(steps)
+
+
+def _loss_sql() -> str:
+    """The same stream with numbers of 128 bits: s is the state and c its increment, as halves of 64 bits."""
+    low = "18446744073709551615::HUGEINT"
+    m = streams.limbs(streams.MULTIPLIER)
+
+    def product(k: int) -> str:  # the k-th limb of state * multiplier + increment, not yet carried
+        limb = lambda x, i: f"(({x}{'l' if i < 4 else 'h'} >> {16 * (i % 4)}) & 65535)"
+        return "(" + " + ".join([limb("c", k)] + [f"{limb('s', i)} * {m[k - i]}" for i in range(k + 1)]) + ")"
+
+    half = lambda a: " + ".join(f"({product(a + k)} << {16 * k})" for k in range(4))
+    move = lambda rest, source: f"SELECT {rest}, cl, ch, lo & {low} AS sl, (hi + (lo >> 64)) & {low} AS sh FROM (SELECT *, {half(0)} AS lo, {half(4)} AS hi FROM {source})"
+    pair = lambda a, b: f"(g{b}::HUGEINT << 32) + g{a}::HUGEINT"
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, (len(embedding) + 15) // 16 AS n FROM embeddings),
+        {_seed_sequence("a", "v", ["3", "vec_id"], 1)},
+        b0 AS (SELECT vec_id, n, g0 AS seed FROM a),
+        {_seed_sequence("b", "b0", ["seed"], 8)},
+        i0 AS (SELECT vec_id, n, {pair(0, 1)} AS th, {pair(2, 3)} AS tl, {pair(4, 5)} AS qh, {pair(6, 7)} AS ql FROM b),
+        i1 AS (SELECT vec_id, n, tl, th, ((ql << 1) & {low}) + 1 AS cl, ((qh << 1) & {low}) + (ql >> 63) AS ch FROM i0),
+        i2 AS (SELECT vec_id, n, cl, ch, (cl + tl) & {low} AS sl, (ch + th + ((cl + tl) >> 64)) & {low} AS sh FROM i1),
+        d(vec_id, n, k, cl, ch, sl, sh) AS (
+            {move("vec_id, n, 0::BIGINT AS k", "i2")}
+            UNION ALL
+            {move("vec_id, n, k + 1 AS k", "(SELECT * FROM d WHERE k < n)")}),
+        x AS (SELECT vec_id, k - 1 AS frame, xor(sl, sh) AS x, (sh >> 58)::INT AS t FROM d WHERE k > 0),
+        u AS (SELECT vec_id, frame, ((((x >> t) | (x << ((64 - t) % 64))) & {low}) >> 11)::DOUBLE / 9007199254740992::DOUBLE AS u FROM x)
+        SELECT vec_id, frame, u, u < 0.2 AS lost FROM u"""
+
+
+_SQL["loss_frames"] = _loss_sql()
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             normalize_text_rows, word_counts, wer_adjacent_turns, cer_adjacent_turns, wer_corpus_by_role, entity_extract, entity_preservation, latency_percentiles, nullable_metrics, ratio_metrics,
-            running_total, first_event_per_user, duplicate_ids, missing_labels, gain_clip, pcm16_mu_law, pcma_round_trip, resample_half, partial_stability, load_by_type, fingerprint_items, frame_split, resample_by_table, signal_rms, channel_noise, channel_loss,
+            running_total, first_event_per_user, duplicate_ids, missing_labels, gain_clip, pcm16_mu_law, pcma_round_trip, resample_half, partial_stability, load_by_type, fingerprint_items, frame_split, resample_by_table, signal_rms, channel_noise, channel_loss, loss_frames,
             stream_file_items, stream_paced_items, stream_summary, stream_paced_summary, stream_update_lists, stream_observed, stream_violations, cumulative_turns, batch_by_role, channel_chain,
             protocol_sessions, manifest_items,
         )
