@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -247,10 +248,11 @@ def channel_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(parts):
         for part in parts:
-            out = [(i, j, int(round(float(x) * 32768))) for i, v in zip(part["vec_id"], part["embedding"]) for j, x in enumerate(channel.through(v, 8000, int(i), chain)[0])]
-            yield pd.DataFrame(out, columns=["vec_id", "i", "pcm"])
+            pcm = [np.rint(channel.through(v, 8000, int(i), chain)[0].astype(np.float64) * 32768).astype(np.int64) for i, v in zip(part["vec_id"], part["embedding"])]
+            yield pd.DataFrame({"vec_id": part["vec_id"], "pcm": pcm})
 
-    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id bigint, i bigint, pcm bigint")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id bigint, pcm array<bigint>")
+    return rows.select("vec_id", F.posexplode("pcm").alias("i", "pcm")).withColumn("i", F.col("i").cast("bigint"))
 
 
 #: What the events of a user may do, in the order of their log.
