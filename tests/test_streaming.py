@@ -1,3 +1,4 @@
+import json
 from datetime import datetime, timedelta
 
 import pytest
@@ -97,3 +98,28 @@ def test_activity_closes_windows(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "in"))
     got = run_stream(spark, live.activity(stream), "windows", str(tmp_path / "c2")).select(F.minute("start").alias("m"), "n", "total").collect()
     assert sorted(tuple(r) for r in got) == [(0, 2, 2.0), (5, 1, 1.0)]
+
+
+def test_idle_state_goes(spark, tmp_path):
+    """After a second without events of an item its state is gone, so that a clock that went back is a new session."""
+    import time
+
+    spark.createDataFrame(trace(4, ("start", 50.0), ("frame", 51.0, 1.0)), EVENTS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
+    query = live.live_violations(stream, 1000).writeStream.format("memory").queryName("idle_events").outputMode("append").option("checkpointLocation", str(tmp_path / "c3")).start()
+    seen = []
+
+    def wait(done):
+        until = time.time() + 60
+        while time.time() < until and not done():
+            time.sleep(0.3)
+            seen.extend(p for p in map(lambda p: json.loads(p.json), query.recentProgress) if p["batchId"] not in {q["batchId"] for q in seen})
+        assert done()
+
+    try:
+        wait(lambda: any(p["stateOperators"] and p["stateOperators"][0]["numRowsRemoved"] for p in seen))
+        spark.createDataFrame(trace(4, ("start", 1.0), ("frame", 2.0, 1.0)), EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        wait(lambda: sum(p["numInputRows"] for p in seen) >= 4)
+        assert spark.table("idle_events").count() == 0
+    finally:
+        query.stop()

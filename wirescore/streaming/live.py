@@ -16,7 +16,7 @@ STATE = "t double, done boolean"
 FOUND = "item string, seq bigint, problem string"
 
 
-def _checker(idle_ms: int):
+def _checker(idle_ms: int | None):
     def check(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -32,18 +32,20 @@ def _checker(idle_ms: int):
             last = t if math.isfinite(t) else last
             done = done or bool(update and row.is_final is not None and row.is_final)
         state.update((last, done))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["item", "seq", "problem"])
 
     return check
 
 
-def live_violations(events: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
+def live_violations(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """events (item, seq, kind, t, is_final), a stream in order within each item: every event that breaks the contract
-    as soon as it comes. What is kept for an item is two values, until nothing has come for it for idle_ms; events of a batch are
-    put in order, those of an earlier batch cannot be."""
+    as soon as it comes. What is kept for an item is two values, until nothing has come for it for idle_ms (for good without
+    it; a stream with it does not end by itself, as it waits for the time to pass). Events of a batch are put in order, those of
+    an earlier batch cannot be."""
     rows = events.select("item", "seq", "kind", "t", "is_final").groupBy("item")
-    return rows.applyInPandasWithState(_checker(idle_ms), FOUND, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.applyInPandasWithState(_checker(idle_ms), FOUND, STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def activity(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
