@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -15,6 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's own switch: shuffle files go when the statement that made them has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The folders made here for local sessions, by application.
 _own: dict[str, str] = {}
 
@@ -33,14 +34,20 @@ def scratch_root(spark: SparkSession) -> str:
     return _own[context.applicationId]
 
 
-def materialise(df: DataFrame, compression: str = "snappy", plain: tuple[str, ...] = (), by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, compression: str = "snappy", plain: tuple[str, ...] = (), by: str | None = None, tidy: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a lost
     executor costs nothing that was written. Columns in plain are not tried against a dictionary; the values of
-    by, the last column, have folders of their own, so that reading one does not touch the others."""
+    by, the last column, have folders of their own, so that reading one does not touch the others. If tidy, Spark deletes
+    the shuffle files of the write once it is done, and not when the driver happens to collect what stands for them."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/scratch-{uuid.uuid4().hex}"
     options = {f"parquet.enable.dictionary#{c}": "false" for c in plain}
-    df.write.option("compression", compression).options(**options).parquet(path, partitionBy=by)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true" if tidy else before)
+    try:
+        df.write.option("compression", compression).options(**options).parquet(path, partitionBy=by)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -56,13 +63,6 @@ def discard(df: DataFrame | None) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that have ended: it does so once the driver's JVM has collected what
-    stood for them, which it may put off for half an hour."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of rows whose sizes sum to at most limit (one row at least)."""
     at = total = 0
