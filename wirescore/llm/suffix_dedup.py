@@ -206,12 +206,13 @@ class Shard:
         # Suffixes too short to hold a string of the width are of no use.
         self.fits = np.arange(len(codes)) + width <= self.ends[self.owner]
 
-    def classes(self) -> tuple[np.ndarray, np.ndarray]:
-        """(class, position) of suffixes whose first `width` bytes stand at several positions."""
+    def classes(self, doubled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class, position) of suffixes whose first `width` bytes stand at several positions, or in a window that
+        stands at several places (doubled)."""
         common = kasai(self.codes, self.order, self.starts, self.ends, self.width)
         label = np.cumsum(common < self.width)
         size = np.bincount(label)
-        many = (size[label] > 1) & self.fits[self.order]
+        many = ((size[label] > 1) | doubled[self.owner[self.order]]) & self.fits[self.order]
         return label[many], self.order[many]
 
     def find(self, other: Shard, at: np.ndarray) -> np.ndarray:
@@ -259,7 +260,7 @@ def repeated_starts(windows: list[bytes], rids: np.ndarray, firsts: np.ndarray,
 
     for a, b in bounds:
         shard = Shard(windows[a:b], width)
-        label, at = shard.classes()
+        label, at = shard.classes(doubled[a:b])
         if len(at):
             w, offset, absolute = places(a, shard, at)
             # A class counts if it stands at two places, or in a window that does.
